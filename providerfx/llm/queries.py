@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from providerfx.llm import blocks as B
-from providerfx.llm import decontamination, packing, quality, substrings, token_counts, token_file, toxicity, url_filters
+from providerfx.llm import byte_spans, decontamination, packing, quality, substrings, token_counts, token_file, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=1024).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_spans.dedup_bytes(docs, size=50, digest=True).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def held_out(doc_id):
     return F.crc32(doc_id.cast("string")) % 3 == 1
 
@@ -118,5 +123,5 @@ SELECT page_id, host, day::VARCHAR AS fetched, coalesce(n_active, 0)::BIGINT AS
 FROM p LEFT JOIN best USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_token_file, op4_substrings, op5_token_counts, op7_toxicity, op8_packing, op9_quality, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_token_file, op4_substrings, op5_token_counts, op6_suffix_arrays, op7_toxicity, op8_packing, op9_quality, op10_url_filters)}
 ORACLE_SQL = {"op1_decontamination": OP1, "op4_substrings": OP4, "op10_url_filters": OP10}
