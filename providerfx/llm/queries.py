@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from providerfx.llm import blocks as B
-from providerfx.llm import byte_spans, decontamination, packing, quality, substrings, token_counts, token_file, toxicity, url_filters
+from providerfx.llm import byte_spans, decontamination, near_duplicates, packing, quality, substrings, token_counts, token_file, toxicity, url_filters
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,26 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates.near_duplicates(docs, shingle=4, percent=80, columns=["doc_id"]).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+OP2 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sh FROM (
+  SELECT doc_id, array_to_string(w[p:p + 3], ' ') AS sh FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS p FROM d WHERE len(w) >= 4)
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 3)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY ALL)
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM reach r JOIN sides e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = B.new_path(spark, "token-file")
     token_file.write_token_file(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -123,5 +143,5 @@ SELECT page_id, host, day::VARCHAR AS fetched, coalesce(n_active, 0)::BIGINT AS
 FROM p LEFT JOIN best USING (page_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_token_file, op4_substrings, op5_token_counts, op6_suffix_arrays, op7_toxicity, op8_packing, op9_quality, op10_url_filters)}
-ORACLE_SQL = {"op1_decontamination": OP1, "op4_substrings": OP4, "op10_url_filters": OP10}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_near_duplicates, op3_token_file, op4_substrings, op5_token_counts, op6_suffix_arrays, op7_toxicity, op8_packing, op9_quality, op10_url_filters)}
+ORACLE_SQL = {"op1_decontamination": OP1, "op2_near_duplicates": OP2, "op4_substrings": OP4, "op10_url_filters": OP10}
