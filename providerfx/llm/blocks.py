@@ -48,8 +48,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df from files in the shared folder, dealt as it was: a plan without adaptive steps tells its partitioning."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
 def parts_of(spark: SparkSession) -> int:
@@ -65,6 +72,8 @@ def to_ipc(table: pa.Table) -> bytes:
 
 
 def from_ipc(blobs) -> pa.Table:
+    """The rows of all batches; the same batches give the same order, whatever order they come in."""
+    blobs = sorted(blobs) if len(blobs) > 1 else blobs
     return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in blobs]).combine_chunks()
 
 
