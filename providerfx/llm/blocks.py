@@ -73,6 +73,7 @@ def to_ipc(table: pa.Table) -> bytes:
 
 def from_ipc(blobs) -> pa.Table:
     """The rows of all batches; the same batches give the same order, whatever order they come in."""
+    pa.default_memory_pool().release_unused()
     blobs = sorted(blobs) if len(blobs) > 1 else blobs
     return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in blobs]).combine_chunks()
 

@@ -19,10 +19,12 @@ from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 from providerfx.llm.suffix_array import permuted_prefixes, suffix_array
 
-RANGE_BYTES = 1 << 20
+RANGE_BYTES = 1 << 18
 BITS = 48
 #: Bytes of distinct segments in one suffix array; segments of one hash stay together.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
+#: Shards of segments for each block, so that a shard stays small against a block's texts.
+SHARDS = 4
 LAST = np.iinfo(np.int64).max
 
 
@@ -160,8 +162,8 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
             return B.info([])
         s, k, g = x.starts[x.first], x.lens[x.first], x.grams_of[x.first]
         low, high = np.minimum.reduceat(x.doc, x.first), np.maximum.reduceat(x.doc, x.first)
-        bounds, rows = B.bucket_bounds(g, n, BITS), []
-        for shard in range(n):
+        bounds, rows = B.bucket_bounds(g, SHARDS * n, BITS), []
+        for shard in range(SHARDS * n):
             a, z = bounds[shard], bounds[shard + 1]
             if a < z:
                 t = pa.table({"gram": g[a:z], "size": k[a:z].astype(np.int32), "low": low[a:z], "high": high[a:z]})
@@ -171,10 +173,13 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
     def answer_segments(key, table):
         parts = table["key"].to_pylist()
         got = [B.from_ipc([b]) for b in table["blob"].to_pylist()]
+        sizes = [len(x) for x in got]
         t = pa.concat_tables(got).combine_chunks()
+        del got, table
         buf, offs = W.flat(t["bytes"])
         lens, low, high, grams = (np.array(t[c].to_numpy()) for c in ("size", "low", "high", "gram"))
         lens = lens.astype(np.int64)
+        del t
         order, group, first = grouped(buf, offs[:-1], lens, grams)
         least = np.minimum.reduceat(low[order], first)
         rep = order[first]
@@ -184,7 +189,7 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
         edge = np.searchsorted(seg, np.arange(len(first) + 1))
         member_group = np.empty(len(order), np.int64)
         member_group[order] = group
-        at, rows = np.cumsum([0, *(len(x) for x in got)]), []
+        at, rows = np.cumsum([0, *sizes]), []
         for p, a, z in zip(parts, at, at[1:]):
             g = member_group[a:z]
             count = edge[g + 1] - edge[g]
@@ -200,7 +205,7 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
         x.segments(info, n)
         total = int(x.offs[-1])
         d = np.zeros(total + 1, np.int32)
-        bounds = B.bucket_bounds(x.grams_of[x.first], n, BITS) if len(x.first) else None
+        bounds = B.bucket_bounds(x.grams_of[x.first], SHARDS * n, BITS) if len(x.first) else None
         edge = np.append(x.first, len(x.starts))
         for shard, blob in B.answers_of(info, 1).items():
             t = B.from_ipc([blob])
