@@ -7,6 +7,8 @@ whatever the texts are, and a block sends a repeated hash once.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -61,6 +63,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def parts_of(spark: SparkSession) -> int:
     """Blocks and buckets: what the cluster sets for shuffles, which follows its data."""
+    small_batches(spark)
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
@@ -71,25 +74,55 @@ def to_ipc(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def release() -> None:
+    """Give freed memory back: Python workers live on between tasks, beside each other and the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def from_ipc(blobs) -> pa.Table:
     """The rows of all batches; the same batches give the same order, whatever order they come in."""
-    pa.default_memory_pool().release_unused()
+    release()
     blobs = sorted(blobs) if len(blobs) > 1 else blobs
     return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in blobs]).combine_chunks()
 
 
+#: Rows of an Arrow batch, which the JVM holds outside its heap; texts are long rows.
+BATCH_ROWS = 1500
+#: Bytes of rows that are packed together.
+PACK_BYTES = 24 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch to BATCH_ROWS."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def packer(batches):
-    """Rows with a column `part` to one compressed batch for each part."""
+    """Rows with a column `part` to one compressed batch for each part and PACK_BYTES."""
+    held, size = [], 0
     for b in batches:
-        if not b.num_rows:
-            continue
-        part = b.column("part").to_numpy()
-        order = np.argsort(part, kind="stable")
-        table = pa.Table.from_batches([b]).drop_columns(["part"]).take(pa.array(order))
-        part = part[order]
-        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        ends = np.append(at[1:], len(part))
-        yield pa.RecordBatch.from_arrays([pa.array(part[at], pa.int32()), pa.array([to_ipc(table.slice(a, z - a)) for a, z in zip(at, ends)], pa.binary())], names=["part", "blob"])
+        held, size = [*held, b], size + b.nbytes
+        if size >= PACK_BYTES:
+            yield from packed(held)
+            held, size = [], 0
+    yield from packed(held)
+
+
+def packed(held):
+    table = pa.Table.from_batches(held) if held else None
+    if table is None or not table.num_rows:
+        return
+    release()
+    part = table["part"].to_numpy()
+    order = np.argsort(part, kind="stable")
+    table, part = table.drop_columns(["part"]).take(pa.array(order)), part[order]
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+    for a, z in zip(at.tolist(), [*at[1:].tolist(), len(part)]):
+        yield pa.RecordBatch.from_arrays([pa.array([part[a]], pa.int32()), pa.array([to_ipc(table.slice(a, z - a).combine_chunks())], pa.binary())], names=["part", "blob"])
 
 
 def to_blocks(df: DataFrame, n: int) -> DataFrame:

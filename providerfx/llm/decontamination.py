@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 
-RANGE_BYTES = 2 << 20
+RANGE_BYTES = 1 << 19
 #: Most bytes of item texts in one automaton, and so in one broadcast; more items make more automata.
 AUTOMATON_BYTES = 4 << 20
-FOUND = "n_words long, hits array<struct<start:long,end:long,from:long,to:long>>, items array<string>"
-FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("from", pa.int64()), ("to", pa.int64())]))), ("items", pa.list_(pa.string()))])
+FOUND = "n_words long, hits array<struct<start:long,end:long,from:long,to:long>>, items array<string>, rest string"
+FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("from", pa.int64()), ("to", pa.int64())]))), ("items", pa.list_(pa.string())), ("rest", pa.string())])
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -32,6 +32,15 @@ def words_of(text: bytes) -> list[bytes]:
 TO_WORDS = bytes(int(W.LOWER[b]) if W.ALNUM[W.LOWER[b]] else 0x20 for b in range(256))
 
 
+def without(raw: bytes, hits: list[dict]) -> str:
+    """The text without the stretches, a space in the place of each."""
+    at, kept = 0, []
+    for h in sorted(hits, key=lambda h: h["from"]):
+        kept.append(raw[at : h["from"]].rstrip())
+        at = max(at, h["to"])
+    return b" ".join(x for x in [*kept, raw[at:].lstrip()] if x).decode()
+
+
 class Automaton:
     """Generalised suffix automaton over sequences of word numbers, with the items of each window."""
 
@@ -120,7 +129,8 @@ class Automaton:
         return [(a, z) for a, z in stretches], found
 
     def search(self, col) -> pa.Array:
-        """FOUND_TYPE of each text: words, stretches (in words and in bytes) and items."""
+        """FOUND_TYPE of each text: words, stretches (in words and in bytes), items, and the text without the stretches, if any."""
+        B.release()
         buf, offs = W.flat(col)
         total, hits, names = np.zeros(len(offs) - 1, np.int64), {}, {}
         for lo, hi in W.runs_of_docs(offs, RANGE_BYTES):
@@ -148,7 +158,8 @@ class Automaton:
                     hits.setdefault(lo + d, []).extend({"start": a + s - w0, "end": a + e - w0, "from": int(starts[a + s]) - b0, "to": int(ends[a + e - 1]) - b0} for s, e in stretches)
                     names.setdefault(lo + d, set()).update(who)
         n = len(offs) - 1
-        return pa.StructArray.from_arrays([pa.array(total), pa.array([hits.get(i, []) for i in range(n)], FOUND_TYPE[1].type), pa.array([sorted(names.get(i, ())) for i in range(n)], FOUND_TYPE[2].type)], fields=[FOUND_TYPE[0], FOUND_TYPE[1], FOUND_TYPE[2]])
+        rest = [without(buf[offs[i] : offs[i + 1]].tobytes(), hits[i]) if i in hits else None for i in range(n)]
+        return pa.StructArray.from_arrays([pa.array(total), pa.array([hits.get(i, []) for i in range(n)], FOUND_TYPE[1].type), pa.array([sorted(names.get(i, ())) for i in range(n)], FOUND_TYPE[2].type), pa.array(rest, pa.string())], fields=list(FOUND_TYPE))
 
 
 _BUILT: dict[tuple[str, int], Automaton] = {}
@@ -179,7 +190,8 @@ def found_udf(items: list[tuple[str, bytes]], window: int):
     def found(text: pa.Array) -> pa.Array:
         return automaton(items, window, key).search(text)
 
-    return found
+    # else a filter on the result would have the texts searched twice, by more workers
+    return found.asNondeterministic()
 
 
 def matches(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "found") -> DataFrame:
@@ -189,13 +201,14 @@ def matches(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text
     a null id or without words is left out. Other columns of df and repeated rows stay as they are. Beyond
     AUTOMATON_BYTES of items, documents stream through one automaton after another, with a table between them.
     """
+    B.small_batches(df.sparkSession)
     col = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     groups = item_groups(items, item_id, item_text)
     out = df.withColumn(into, found_udf(groups[0], window)(col))
     for k, group in enumerate(groups[1:]):
         out = B.written(out, f"found{k}").withColumn("_more", found_udf(group, window)(col))
         hits, names = F.concat(f"{into}.hits", "_more.hits"), F.array_union(f"{into}.items", "_more.items")
-        out = out.withColumn(into, F.struct(F.col(f"{into}.n_words").alias("n_words"), merged(hits).alias("hits"), names.alias("items"))).drop("_more")
+        out = out.withColumn(into, F.struct(F.col(f"{into}.n_words").alias("n_words"), merged(F.array_sort(hits)).alias("hits"), names.alias("items"), F.lit(None).cast("string").alias("rest"))).drop("_more")
     return out
 
 
@@ -214,30 +227,19 @@ def n_hit(found: str = "found"):
     return F.aggregate(f"{found}.hits", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
 
 
-def decontaminate(df: DataFrame, items: DataFrame, window: int = 10, min_words: int = 10, max_coverage: float = 0.5, text: str = "text", **kw) -> DataFrame:
+def decontaminate(df: DataFrame, items: DataFrame, window: int = 10, max_coverage: float = 0.5, text: str = "text", **kw) -> DataFrame:
     """df without contaminated spans: documents with more than max_coverage of their words hit go whole.
 
-    From the others, stretches of at least min_words hit words (or whole shorter items) are cut out, with one space
-    in their place; the rest of the text is unchanged. Null texts stay null, untouched rows stay equal.
+    From the others all stretches of hit words are cut out, with one space in their place; the rest of the text is
+    unchanged. Null texts stay null, untouched rows stay equal.
     """
     m = matches(df, items, window, text, into="_found", **kw).withColumn("_hit", n_hit("_found"))
-    limit = min(min_words, window)
+    keep = m.filter((F.col("_hit") == 0) | (F.col("_hit") <= F.lit(max_coverage) * F.col("_found.n_words")))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
-        out = []
-        for t, hs in zip(texts, hits.to_pylist()):
-            t = t.as_py()
-            if t is not None and hs:
-                raw, at, kept = t.encode(), 0, []
-                for h in hs:
-                    kept.append(raw[at : h["from"]].rstrip())
-                    at = h["to"]
-                t = b" ".join(x for x in [*kept, raw[at:].lstrip()] if x).decode()
-            out.append(t)
-        return pa.array(out, pa.string())
+        return pa.array([without(t.as_py().encode(), h) for t, h in zip(texts, hits.to_pylist())], pa.string())
 
-    keep = m.filter((F.col("_hit") == 0) | (F.col("_hit") <= F.lit(max_coverage) * F.col("_found.n_words")))
-    large = F.filter("_found.hits", lambda x: (x["end"] - x["start"] >= limit) | F.lit(limit >= window))
-    cleaned = F.when(F.size("_found.hits") == 0, F.col(f"`{text}`")).otherwise(cut(F.col(f"`{text}`"), large))
-    return keep.withColumn(text, cleaned).drop("_found", "_hit")
+    several = len(item_groups(items, kw.get("item_id", "item_id"), kw.get("item_text", "text"))) > 1
+    rest = cut(F.coalesce(F.col(f"`{text}`"), F.lit("")), "_found.hits") if several else F.col("_found.rest")
+    return keep.withColumn(text, F.when(F.col("_hit") == 0, F.col(f"`{text}`")).otherwise(rest)).drop("_found", "_hit")

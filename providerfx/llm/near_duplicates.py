@@ -20,7 +20,7 @@ from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 from providerfx.llm.graphs import components
 
-RANGE_BYTES = 1 << 20
+RANGE_BYTES = 1 << 19
 TREES, LEVELS, LEVEL_BITS = 20, 6, 16
 #: Least common prefix of candidates, in levels. A pair of similarity 0.8 shares it in half of the trees.
 BASE_DEPTH = 3

@@ -24,6 +24,8 @@ PLACED = "item_bin long, place long"
 def pieces(df: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and end_id, cut only if longer than `size`, the rest first."""
 
+    B.small_batches(df.sparkSession)
+
     def cut(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 2048):
@@ -38,6 +40,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str =
                         out.append((d, k, at, n, zlib.crc32(own[at : at + n].tobytes())))
                         at, k = at + n, k + 1
                 yield from B.table_of(out, ["doc_id", "piece", "start", "length", "ids_crc32"], [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]).to_batches()
+        encoder(tokenizer).reset()
 
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(cut, PIECES)
 

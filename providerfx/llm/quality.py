@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 
-RANGE_BYTES = 2 << 20
+RANGE_BYTES = 1 << 19
 FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
 SYMBOL = np.array([chr(b) in "#*$%&|<>" for b in range(256)])
 #: Ratio of neighbouring bin edges: a quantile is off by 1 % at most.
@@ -32,6 +32,7 @@ FENCE = 3.0
 
 def features(col) -> list[np.ndarray]:
     """FIELDS of each text."""
+    B.release()
     buf, offs = W.flat(col)
     out = [np.zeros(len(offs) - 1, np.int64) for _ in FIELDS]
     for lo, hi in W.runs_of_docs(offs, RANGE_BYTES):
@@ -127,6 +128,7 @@ def quality_rules(df: DataFrame, groups: tuple[str, str] = ("lang", "source"), t
     language or source is a group of its own. Repeated rows count each time. An empty df gives an empty result;
     columns of df named like a result column are replaced.
     """
+    B.small_batches(df.sparkSession)
     outer, inner = groups
     made = [*FIELDS, "base_failed", "kept"]
     f = features_udf()(F.coalesce(F.col(f"`{text}`"), F.lit("")))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 
-RANGE_BYTES = 2 << 20
+RANGE_BYTES = 1 << 19
 GRAM_BITS, WINDOW_BITS = 48, 64
 
 

@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from providerfx.llm import blocks as B
 from providerfx.llm.tokens import encoder
 
 
@@ -23,6 +24,7 @@ def token_counts(df: DataFrame, tokenizer: str, text: str = "text", limit: int =
     A null text counts as empty: 0 bytes, 0 tokens. Columns of df with one of the three names are replaced,
     all others, repeated rows included, stay as they are; an empty df gives an empty result.
     """
+    B.small_batches(df.sparkSession)
     col = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     out = df.withColumns({"n_bytes": F.octet_length(col).cast("long"), "n_tokens": count_udf(tokenizer)(col)})
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

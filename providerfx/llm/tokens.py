@@ -9,13 +9,15 @@ and kept in a bounded table of the process; texts of any length are handled in b
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 
+from providerfx.llm.blocks import member, release
 from providerfx.llm.words import flat, gathered, span_hash
 
 RANGE_BYTES = 4 << 20
-TABLE_PIECES = 1 << 20
+TABLE_PIECES = 3 << 18
 
 
 def cut_marks(buf: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -74,22 +76,22 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[int, int] = {}
-        self.ids, self.offs, self.used, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0, 0
+        """An empty table: sorted hashes of pieces, their rows, and the ids of all rows one after another."""
+        self.keys, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.offs = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def add(self, hashes: list[int], pieces: list[str]) -> None:
+    def add(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids, lens = [self.ids], []
         for lo in range(0, len(pieces), 4096):
-            for h, e in zip(hashes[lo : lo + 4096], self.lib.encode_batch_fast(pieces[lo : lo + 4096], add_special_tokens=False)):
-                ids = e.ids
-                while self.used + len(ids) > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-                if self.n + 2 > len(self.offs):
-                    self.offs = np.concatenate([self.offs, np.zeros_like(self.offs)])
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
-                self.index[h] = self.n
-                self.n += 1
-                self.offs[self.n] = self.used
+            got = [e.ids for e in self.lib.encode_batch_fast(pieces[lo : lo + 4096], add_special_tokens=False)]
+            lens += map(len, got)
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32, sum(lens[lo:])))
+        first = len(self.offs) - 1
+        self.ids = np.concatenate(ids)
+        self.offs = np.concatenate([self.offs, self.offs[-1] + np.cumsum(np.array(lens, np.int64))])
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.rows = np.insert(self.rows, at, np.arange(first, first + len(keys), dtype=np.int32))
 
     def lookup(self, buf: np.ndarray, offs: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the pieces in [lo, hi) and their rows in the table."""
@@ -100,14 +102,12 @@ class Encoder:
         starts = np.flatnonzero(m) + lo
         ends = np.append(starts[1:], hi)
         key, first, inv = np.unique(span_hash(buf, starts, ends), return_index=True, return_inverse=True)
-        if self.n + len(key) > TABLE_PIECES and self.n:
+        if len(self.keys) + len(key) > TABLE_PIECES and len(self.keys):
             self.reset()
-        names = key.tolist()
-        rows = list(map(self.index.get, names))
-        if missing := [i for i, r in enumerate(rows) if r is None]:
-            self.add([names[i] for i in missing], [buf[starts[j] : ends[j]].tobytes().decode("utf-8", "replace") for j in first[missing]])
-            rows = list(map(self.index.get, names))
-        return starts, np.array(rows, np.int64)[inv]
+        new = np.flatnonzero(~member(key, self.keys))
+        if len(new):
+            self.add(key[new], [buf[a:z].tobytes().decode("utf-8", "replace") for a, z in zip(starts[first[new]].tolist(), ends[first[new]].tolist())])
+        return starts, self.rows[np.searchsorted(self.keys, key)].astype(np.int64)[inv]
 
     def counts(self, col) -> np.ndarray:
         buf, offs = flat(col)
@@ -138,7 +138,8 @@ _ENCODERS: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """The process's encoder for a file."""
+    """The process's encoder for a file; memory that the last batch left is given back first."""
+    release()
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

@@ -1,7 +1,7 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text: its distinct words, pairs of neighbours and pairs with one word between, hashed. Training
-takes at most `max_labels` labelled rows, those of the smallest hashes of (doc_id, text), in one task of bounded
+takes at most `max_labels` labels, those of the smallest hashes of their ids, in one task of bounded
 size; per-coordinate rates and L1 leave a sparse weight vector of at most 2**BITS entries, broadcast for scoring.
 """
 
@@ -12,12 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 
 BITS = 20
 RANGE_BYTES = 1 << 20
 #: Most labelled rows that training reads.
-MAX_LABELS = 20_000
+MAX_LABELS = 10_000
 #: Training leaves out features of fewer rows.
 LEAST_ROWS = 3
 KINDS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
@@ -55,8 +56,10 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: f
     """Weights and bias by FTRL-proximal over rows of distinct features of value 1."""
     z, n, w = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
     # a feature of one or two rows hardly passes the L1 threshold; leaving these out saves most of the time
-    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=1 << BITS)
-    rows = [r[seen[r] >= LEAST_ROWS] for r in rows]
+    seen = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        seen[r] += 1  # a row's features are distinct
+    rows = [r[seen[r] >= LEAST_ROWS].astype(np.int32) for r in rows]
     bz = bn = bias = 0.0
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)).tolist():
@@ -83,7 +86,7 @@ def train(labelled: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(feature_lists(b.column("text")), pa.binary())], names=["label", "feats"])
 
     def fitted(table):
-        rows = [np.frombuffer(x, "<u4").astype(np.int64) for x in table["feats"].to_pylist()]
+        rows = [np.frombuffer(x.as_buffer(), "<u4") for chunk in table["feats"].chunks for x in chunk]
         w, bias = ftrl(rows, table["label"].to_numpy().astype(float))
         i = np.flatnonzero(w)
         return pa.table({"idx": pa.array([i.astype("<u4").tobytes()], pa.binary()), "val": pa.array([w[i].tobytes()], pa.binary()), "bias": [bias]})
@@ -103,6 +106,7 @@ def score_udf(model: tuple[np.ndarray, np.ndarray, float]):
     def score(text: pa.Array) -> pa.Array:
         w = np.zeros(1 << BITS)
         w[idx] = val
+        B.release()
         buf, offs = W.flat(text)
         out = np.full(len(offs) - 1, bias)
         for lo, hi in W.runs_of_docs(offs, RANGE_BYTES):
@@ -123,9 +127,12 @@ def toxicity(df: DataFrame, labels: DataFrame, held_out=None, text: str = "text"
     of an unknown id has no effect; an id with several labels trains with each. Repeated rows and other columns
     stay as they are; a column named score is replaced.
     """
+    B.small_batches(df.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").alias("label")).filter("label is not null")
     if held_out is not None:
         marks = marks.filter(~held_out(F.col("_id")))
+    # at most max_labels of them, so this side is small by construction and texts need no shuffle
+    marks = marks.filter("_id is not null").orderBy(F.xxhash64("_id"), "_id", "label").limit(max_labels)
     docs = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    model = train(docs.join(marks, F.col("key") == F.col("_id")).select("key", "text", "label"), max_labels)
+    model = train(docs.join(F.broadcast(marks), F.col("key") == F.col("_id")).select("key", "text", "label"), max_labels)
     return df.withColumn("score", score_udf(model)(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
