@@ -4,10 +4,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from providerfx.llm import byte_spans, decontamination, huffman, near_duplicates, packing, quality, substrings, suffix_array, token_counts, token_file, toxicity, url_filters
+from providerfx.llm import byte_spans, decontamination, huffman, near_duplicates, packing, quality, substrings, suffix_array, token_counts, token_file, tokens, toxicity, url_filters
 from providerfx.llm.blocks import new_path
 from providerfx.llm.graphs import components
 
@@ -171,3 +172,15 @@ def test_url_filters(spark):
     got = [(r["host"], r["n_active"], r["blocked"], r["entry"]) for r in url_filters.filter_urls(pages, entries).collect()]
     assert sorted(got, key=repr) == sorted([("a.b.com", 2, True, "a.b.com"), ("a.b.com", 1, True, "b.com"), (None, 0, False, None), (None, 0, False, None), ("b.com", 0, False, None), ("b.com", 1, True, "b.com")], key=repr)
     assert url_filters.filter_urls(pages, entries.limit(0)).filter("blocked").count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_joined_pieces(name):
+    """Ids of odd texts, as the library gives them for each text alone."""
+    rng = random.Random(5)
+    marks = [" ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", "\xa0", " ", " ", " ", "　", "​", "́", "ͅ", "a", "B", "é", "中", "1", "23", "!", "'s", "<|endoftext|>", "</s>", "ﬁ", "İ", "\U0001f600"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 60))) for _ in range(3000)] + ["", " ", "\n", "word " * 5000]
+    lib = Tokenizer.from_file(public_tokenizers.path(name))
+    ids, offs = tokens.encoder(public_tokenizers.path(name)).encode(pa.array([*texts, None], pa.string()))
+    got = [ids[a:z].tolist() for a, z in zip(offs, offs[1:])]
+    assert got == [e.ids for e in lib.encode_batch_fast(texts, add_special_tokens=False)] + [[]]
