@@ -4,6 +4,10 @@ Documents with equal shingle sets are one class. Each tree orders the classes by
 is compared with its neighbours in the order, as far as they share a prefix: the longest-prefix neighbour always,
 others only if the prefix is as deep as the region is crowded. Candidates are confirmed on their full sets, which
 are made anew from the text blocks; components of confirmed links are found with distributed stars.
+
+That joins most of what belongs together at little cost. What it leaves apart is compared in full: in a region that
+holds several components, first all classes with the best linked one, then every two classes of different components.
+Two classes that share a region are so either compared or known to be connected, however crowded the region is.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ TREES, LEVELS, LEVEL_BITS = 20, 6, 16
 BASE_DEPTH = 3
 #: A region (classes of one tree with a common base prefix) of up to so many classes compares all of them.
 SMALL_REGION = 4
+#: Classes of a region on each side of a cell, in which every two are compared.
+CELL = 256
 SET_BYTES = 6
 _RNG = np.random.default_rng(20260101)
 XORS = _RNG.integers(0, 2**63, TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,15 +150,26 @@ def neighbours(batches):
     yield from pa.table(cols, names=names).to_batches()
 
 
+def levels(batch) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(batch.num_rows, TREES, LEVELS).astype(np.uint64)
+
+
+def ordered(both: DataFrame) -> DataFrame:
+    """The distinct pairs with a_node < b_node."""
+    swap = F.col("a_node") > F.col("b_node")
+    cols = [F.when(swap, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"{p}_{c}") for p, q in ("ab", "ba") for c in NODE]
+    return both.filter("a_node <> b_node").select(*cols).distinct()
+
+
 def candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """(a_*, b_*) of distinct pairs, a_node <= b_node, from nodes (node, home, mark, size, sig)."""
+    """(a_*, b_*) of distinct pairs of neighbours, a_node < b_node, from nodes (node, home, mark, size, sig)."""
 
     def entries(batches):
         for b in batches:
             m = b.num_rows
             if not m:
                 continue
-            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(m, TREES, LEVELS).astype(np.uint64)
+            sig = levels(b)
             k1 = sum(sig[:, :, j] << np.uint64(48 - 16 * j) for j in range(4))
             k2 = sum(sig[:, :, j] << np.uint64(48 - 16 * (j - 4)) for j in range(4, LEVELS))
             rep = pa.array(np.repeat(np.arange(m), TREES))
@@ -167,10 +184,87 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
     shift = 64 - BASE_DEPTH * LEVEL_BITS
     across = end.join(first, ["at", "tree"]).filter(F.shiftrightunsigned("e1", shift) == F.shiftrightunsigned("s1", shift))
     names = [f"{p}_{c}" for p in "ab" for c in NODE]
-    both = found.filter("edge = -1").select(*names).union(across.select(*names)).filter("a_node <> b_node")
-    swap = F.col("a_node") > F.col("b_node")
-    cols = [F.when(swap, F.col(f"{q}_{c}")).otherwise(F.col(f"{p}_{c}")).alias(f"{p}_{c}") for p, q in ("ab", "ba") for c in NODE]
-    return both.select(*cols).distinct()
+    return ordered(found.filter("edge = -1").select(*names).union(across.select(*names)))
+
+
+def places(nodes: DataFrame) -> DataFrame:
+    """nodes with the hashes of their regions, one for each tree, in place of sig."""
+
+    def placed(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            sig = levels(b)
+            h = np.tile(W.mix(np.arange(1, TREES + 1, dtype=np.uint64)), (b.num_rows, 1))
+            for j in range(BASE_DEPTH):
+                h = W.mix(h * W.SEEDS[0] + sig[:, :, j])
+            regions = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TREES), pa.array(h.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in NODE), regions], names=[*NODE, "regions"])
+
+    return nodes.mapInArrow(placed, ", ".join(f"{c} long" for c in NODE) + ", regions array<long>")
+
+
+def in_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+
+
+def apart(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(region, tree, NODE, regions, component): the classes of each region that holds several components."""
+    at = in_component(placed, roots)
+    several = at.select(F.explode("regions").alias("region"), "component").groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
+    keys = at.select("node", "mark", F.posexplode("regions").alias("tree", "region")).join(several, "region", "left_semi")
+    return keys.join(at, ["node", "mark"]).select("region", "tree", *NODE, "regions", "component")
+
+
+def side(p: str):
+    return [F.col(c).alias(f"{p}_{c}") for c in [*NODE, "component"]]
+
+
+def linkable(percent: int):
+    return (F.col("a_component") != F.col("b_component")) & (100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
+
+
+def with_hubs(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each region's class of the most links with the classes of other components."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    best = F.max(F.struct(F.coalesce("n_links", F.lit(0)).alias("n_links"), *NODE, "component")).alias("h")
+    hubs = members.join(ends, "node", "left").groupBy("region").agg(best).select("region", "h.*").select("region", *side("a"))
+    return ordered(members.select("region", *side("b")).join(hubs, "region").filter(linkable(percent)))
+
+
+def across_components(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Every two classes of a region in different components, once, in the first tree that has them together.
+
+    The classes outside of a region's largest component meet all others, in cells of some CELL x CELL, so the
+    work is in proportion to the pairs and no region is bound to one task.
+    """
+    at = in_component(members.drop("component"), roots)
+    of = at.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"))
+    of = of.filter("all > m.n").select("region", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("rows"), F.ceil(F.col("all") / CELL).alias("cols"))
+    at = B.written(at.join(of, "region"), "apart")
+    cell = lambda n: F.pmod(F.xxhash64("node", "mark"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    a = at.filter("component <> main").select("region", "tree", *side("a"), F.col("regions").alias("a_regions"), "main", cell("rows").alias("row"), every("cols").alias("col"))
+    b = at.select("region", *side("b"), F.col("regions").alias("b_regions"), cell("cols").alias("col"), every("rows").alias("row"))
+    once = (F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
+    first = F.expr("array_position(zip_with(a_regions, b_regions, (x, y) -> x = y), true) = tree + 1")
+    return a.join(b, ["region", "row", "col"]).filter(linkable(percent) & once).filter(first)
+
+
+def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(node, root) of the components of links and of all further links between classes that share a region."""
+    chains = lambda roots, more: roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    roots = B.written(components(links), "roots")
+    members = B.written(apart(B.written(places(nodes), "places"), roots), "members")
+    if members.isEmpty():
+        return roots
+    hubs = B.written(with_hubs(members, links, percent), "hubs")
+    more = B.written(confirmed(blocks, hubs, shingle, percent), "links")
+    if not more.isEmpty():
+        roots = B.written(components(chains(roots, more)), "roots")
+    pairs = B.written(ordered(across_components(members, roots, percent)), "rest")
+    more = B.written(confirmed(blocks, pairs, shingle, percent), "links")
+    return roots if more.isEmpty() else components(chains(roots, more))
 
 
 def confirmed(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -273,7 +367,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
     reps = kinds.select(F.col("rep").alias("node"), "mark", "mark2", "size")
     nodes = B.written(sets.join(reps, ["node", "mark", "mark2", "size"], "left_semi").dropDuplicates(["node", "mark", "mark2"]).select(*NODE, "sig"), "nodes")
     pairs = B.written(candidates(nodes, n), "candidates")
-    roots = components(confirmed(blocks, pairs, shingle, percent))
+    roots = rest_of_links(blocks, nodes, B.written(confirmed(blocks, pairs, shingle, percent), "links"), shingle, percent)
     settled = kinds.join(roots, F.col("rep") == F.col("node"), "left").select("mark", "mark2", "size", F.coalesce("root", "rep").alias("component"))
     rows = sets.select("node", "home", "row", "mark", "mark2", "size").join(settled, ["mark", "mark2", "size"], "left")
     verdict = rows.select(F.col("home").cast("int").alias("part"), "row", "size", F.when(F.col("node").isNotNull(), F.coalesce("component", "node")).alias("component"))
