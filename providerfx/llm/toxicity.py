@@ -124,15 +124,17 @@ def toxicity(df: DataFrame, labels: DataFrame, held_out=None, text: str = "text"
     """df with score, 0 to 1: the higher, the likelier `label` is 1; only the text enters it.
 
     held_out: a condition on the id whose rows never train. Null and empty texts get the bias's score. A label row
-    of an unknown id has no effect; an id with several labels trains with each. Repeated rows and other columns
+    of an unknown id has no effect; an id with several labels trains with each. Training takes at most max_labels
+    labels, those of the smallest hashes of their ids, and leaves out features of fewer than LEAST_ROWS of its rows. Repeated rows and other columns
     stay as they are; a column named score is replaced.
     """
     B.small_batches(df.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").alias("label")).filter("label is not null")
     if held_out is not None:
         marks = marks.filter(~held_out(F.col("_id")))
-    # at most max_labels of them, so this side is small by construction and texts need no shuffle
-    marks = marks.filter("_id is not null").orderBy(F.xxhash64("_id"), "_id", "label").limit(max_labels)
+    ids = df.select(F.col(f"`{id_col}`").alias("_id"))
+    # labels of unknown ids don't count; at most max_labels are left, so this side is small by construction and texts need no shuffle
+    marks = marks.filter("_id is not null").join(ids, "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id", "label").limit(max_labels)
     docs = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text}`").alias("text"))
     model = train(docs.join(F.broadcast(marks), F.col("key") == F.col("_id")).select("key", "text", "label"), max_labels)
     return df.withColumn("score", score_udf(model)(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
