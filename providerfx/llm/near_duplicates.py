@@ -26,8 +26,8 @@ from providerfx.llm.graphs import components
 
 RANGE_BYTES = 1 << 19
 TREES, LEVELS, LEVEL_BITS = 20, 6, 16
-#: Least common prefix of candidates, in levels. A pair of similarity 0.8 shares it in half of the trees.
-BASE_DEPTH = 3
+#: Least percent that the trees are made for.
+LEAST_PERCENT = 50
 #: A region (classes of one tree with a common base prefix) of up to so many classes compares all of them.
 SMALL_REGION = 4
 #: Classes of a region on each side of a cell, in which every two are compared.
@@ -90,9 +90,16 @@ def common_levels(k1: np.ndarray, k2: np.ndarray) -> np.ndarray:
     return out
 
 
-def region_depth(size: np.ndarray) -> np.ndarray:
+def base_depth(percent: int) -> int:
+    """Least common prefix of candidates, in levels: the most that a pair just similar enough shares in about half of the trees (3 for 80)."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
+    return max(d for d in range(1, LEVELS + 1) if percent**d >= 0.5 * 100**d)
+
+
+def region_depth(size: np.ndarray, base: int) -> np.ndarray:
     """Levels that a neighbour beyond the nearest must share, by how many classes the region holds."""
-    return BASE_DEPTH + (size > 64).astype(np.int64) + (size > 4096)
+    return np.minimum(base + (size > 64).astype(np.int64) + (size > 4096), LEVELS)
 
 
 NODE = ["node", "home", "mark", "size"]
@@ -100,9 +107,9 @@ ENTRY = "tree int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in NODE)
 PAIR = "edge int, at int, " + ", ".join(f"{p}_{c} long" for p in "ab" for c in NODE) + ", tree int, k1 long, k2 long"
 
 
-def neighbours(batches):
+def neighbours(batches, percent: int):
     """Candidate pairs of one partition of the sorted entries, and its first and last entry (edge 0 and 1)."""
-    t = pa.Table.from_batches(list(batches))
+    t, base = pa.Table.from_batches(list(batches)), base_depth(percent)
     if not t.num_rows:
         return
     t = t.combine_chunks()
@@ -115,29 +122,29 @@ def neighbours(batches):
         x = common_levels(u1[gap:] ^ u1[:-gap], u2[gap:] ^ u2[:-gap])
         x[tree[gap:] != tree[:-gap]] = 0
         a, b = size[gap:], size[:-gap]
-        return x, 100 * np.minimum(a, b) >= 80 * np.maximum(a, b)
+        return x, 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
     pairs = [np.zeros((0, 2), np.int64)]
     if m > 1:
         near, fits = shared(1)
-        region = np.concatenate([[0], np.cumsum(near < BASE_DEPTH)])
+        region = np.concatenate([[0], np.cumsum(near < base)])
         count = np.bincount(region)[region]
         before, after = np.concatenate([[0], near]), np.concatenate([near, [0]])
         best = near >= np.minimum(np.maximum(before, after)[1:], np.maximum(before, after)[:-1])
-        ok = (near >= BASE_DEPTH) & fits & (best | (near >= region_depth(count[1:])))
+        ok = (near >= base) & fits & (best | (near >= region_depth(count[1:], base)))
         i = np.flatnonzero(ok)
         pairs.append(np.stack([i, i + 1], 1))
         for gap in range(2, SMALL_REGION):
             if m > gap:
                 far, fits = shared(gap)
-                i = np.flatnonzero((far >= BASE_DEPTH) & fits & (count[gap:] <= SMALL_REGION))
+                i = np.flatnonzero((far >= base) & fits & (count[gap:] <= SMALL_REGION))
                 pairs.append(np.stack([i, i + gap], 1))
         # a neighbour of another size can't be linked; the next of a fitting size takes its place
-        i = np.flatnonzero((near >= BASE_DEPTH) & ~shared(1)[1])
+        i = np.flatnonzero((near >= base) & ~shared(1)[1])
         if len(i):
             order = np.lexsort((np.arange(m), size, region))
             r, s = region[order], size[order]
-            j = np.flatnonzero((r[1:] == r[:-1]) & (100 * s[:-1] >= 80 * s[1:]) & np.isin(r[1:], region[i]))
+            j = np.flatnonzero((r[1:] == r[:-1]) & (100 * s[:-1] >= percent * s[1:]) & np.isin(r[1:], region[i]))
             pairs.append(np.stack([order[j], order[j + 1]], 1))
     p = np.concatenate(pairs)
     pid = TaskContext.get().partitionId()
@@ -161,7 +168,7 @@ def ordered(both: DataFrame) -> DataFrame:
     return both.filter("a_node <> b_node").select(*cols).distinct()
 
 
-def candidates(nodes: DataFrame, n: int) -> DataFrame:
+def candidates(nodes: DataFrame, n: int, percent: int) -> DataFrame:
     """(a_*, b_*) of distinct pairs of neighbours, a_node < b_node, from nodes (node, home, mark, size, sig)."""
 
     def entries(batches):
@@ -177,17 +184,17 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
 
     keys = ["tree", "k1", "k2", "node", "mark"]
     rows = nodes.mapInArrow(entries, ENTRY).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    found = B.written(rows.mapInArrow(neighbours, PAIR), "pairs")
+    found = B.written(rows.mapInArrow(lambda batches: neighbours(batches, percent), PAIR), "pairs")
     # neighbours on both sides of a partition's end
     end = found.filter("edge = 1").select((F.col("at") + 1).alias("at"), "tree", F.col("k1").alias("e1"), *(F.col(f"a_{c}") for c in NODE))
     first = found.filter("edge = 0").select("at", "tree", F.col("k1").alias("s1"), *(F.col(f"b_{c}") for c in NODE))
-    shift = 64 - BASE_DEPTH * LEVEL_BITS
+    shift = 64 - min(base_depth(percent), 3) * LEVEL_BITS
     across = end.join(first, ["at", "tree"]).filter(F.shiftrightunsigned("e1", shift) == F.shiftrightunsigned("s1", shift))
     names = [f"{p}_{c}" for p in "ab" for c in NODE]
     return ordered(found.filter("edge = -1").select(*names).union(across.select(*names)))
 
 
-def places(nodes: DataFrame) -> DataFrame:
+def places(nodes: DataFrame, depth: int) -> DataFrame:
     """nodes with the hashes of their regions, one for each tree, in place of sig."""
 
     def placed(batches):
@@ -196,7 +203,7 @@ def places(nodes: DataFrame) -> DataFrame:
                 continue
             sig = levels(b)
             h = np.tile(W.mix(np.arange(1, TREES + 1, dtype=np.uint64)), (b.num_rows, 1))
-            for j in range(BASE_DEPTH):
+            for j in range(depth):
                 h = W.mix(h * W.SEEDS[0] + sig[:, :, j])
             regions = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * TREES), pa.array(h.ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in NODE), regions], names=[*NODE, "regions"])
@@ -255,7 +262,7 @@ def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, shingle
     """(node, root) of the components of links and of all further links between classes that share a region."""
     chains = lambda roots, more: roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     roots = B.written(components(links), "roots")
-    members = B.written(apart(B.written(places(nodes), "places"), roots), "members")
+    members = B.written(apart(B.written(places(nodes, base_depth(percent)), "places"), roots), "members")
     if members.isEmpty():
         return roots
     hubs = B.written(with_hubs(members, links, percent), "hubs")
@@ -339,11 +346,13 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
     """df (or these columns of it) with n_shingles, component_id (smallest id reachable by links) and kept (the id is that one).
 
     Words are `[^\\x20\\x09-\\x0D]+` after A-Z became a-z; a set holds the distinct runs of `shingle` words, or the
-    whole sequence of a shorter text. Linked are sets with 100 * intersection >= percent * union. A null or empty
+    whole sequence of a shorter text. Linked are sets with 100 * intersection >= percent * union; percent is from 50
+    to 100, and below 80 there are fewer, larger regions, which cost more. A null or empty
     text has an empty set and no links. A row with a null id links with nothing, has a null component and is kept;
     rows that share an id are documents of their own with that id. Columns named like a result column are
     replaced; an empty df gives an empty result.
     """
+    base_depth(percent)  # refuses others
     n = B.parts_of(df.sparkSession)
     made = ["n_shingles", "component_id", "kept"]
     rest = [c for c in (df.columns if columns is None else columns) if c not in made]
@@ -366,7 +375,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
     kinds = B.written(sets.filter("size > 0 and node is not null").groupBy("mark", "mark2", "size").agg(F.min("node").alias("rep")), "classes")
     reps = kinds.select(F.col("rep").alias("node"), "mark", "mark2", "size")
     nodes = B.written(sets.join(reps, ["node", "mark", "mark2", "size"], "left_semi").dropDuplicates(["node", "mark", "mark2"]).select(*NODE, "sig"), "nodes")
-    pairs = B.written(candidates(nodes, n), "candidates")
+    pairs = B.written(candidates(nodes, n, percent), "candidates")
     roots = rest_of_links(blocks, nodes, B.written(confirmed(blocks, pairs, shingle, percent), "links"), shingle, percent)
     settled = kinds.join(roots, F.col("rep") == F.col("node"), "left").select("mark", "mark2", "size", F.coalesce("root", "rep").alias("component"))
     rows = sets.select("node", "home", "row", "mark", "mark2", "size").join(settled, ["mark", "mark2", "size"], "left")
