@@ -46,7 +46,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_duplicates), ("substrings", cut_repeated_passages), ("decontamination", cut_benchmark_passages), ("packing", pack)]
 
-#: No SQL: a learned classifier, a tokenizer and a packing have none. tests/llm holds the stages against brute force.
+#: No SQL: a learned classifier, a tokenizer and a packing have none. tests/llm tests the operators, with other parameters
+#: in part; no test runs the stages yet.
 ORACLE_SQL = None
 
 
