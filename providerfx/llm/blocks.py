@@ -1,8 +1,8 @@
 """Documents in blocks: one shuffle deals compressed batches of rows to blocks, kept in the shared folder.
 
-All later passes of an operator read the same blocks. What passes exchange is a sorted list of hashes from a
-block to a bucket of hash space, and one bit for each hash back; both are spread evenly over the hash space
-whatever the texts are, and a block sends a repeated hash once.
+All later passes of an operator read the same blocks. A block holds about BLOCK_BYTES of text, however large the
+input is. What passes exchange are rows of hashes that Spark counts: spread evenly over the hash space whatever the
+texts are, each hash once from a block.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 INFO = "part int, kind int, key int, blob binary"
@@ -22,11 +22,13 @@ BLOCK = "part int, blob binary"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set, as in tests, a temporary one."""
+    """The cluster's shared folder; where none is set, a temporary one in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not found and (d := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         found = d.get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="providerfx-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -61,10 +63,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
-def parts_of(spark: SparkSession) -> int:
-    """Blocks and buckets: what the cluster sets for shuffles, which follows its data."""
+#: Bytes of text in a block, about, and in the smallest that are made to use all of a cluster.
+BLOCK_BYTES, LEAST_BYTES = 24 << 20, 1 << 20
+#: Most Spark partitions of blocks; beyond, a partition holds several blocks, one after another.
+MOST_PARTITIONS = 50_000
+
+
+def parts_of(df: DataFrame, text: str) -> int:
+    """Blocks for df: by the bytes of its texts, which are summed first; with little text, as many as the cluster shuffles to."""
+    spark = df.sparkSession
     small_batches(spark)
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = df.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).head()[0] or 0
+    return max(1, -(-size // BLOCK_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_BYTES)))
+
+
+def murmur(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of 32-bit integers (public Murmur3, seed 42), which deals rows to partitions."""
+    turn = lambda v, r: (v << np.uint32(r)) | (v >> np.uint32(32 - r))
+    k = turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+    h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(odd)
+    return h ^ (h >> np.uint32(16))
+
+
+def labels(n: int) -> np.ndarray:
+    """n numbers for blocks such that a shuffle to n partitions gives each partition one of them; beyond MOST_PARTITIONS any."""
+    tries = 4 * n
+    while n <= MOST_PARTITIONS:
+        at = murmur(np.arange(tries)).view(np.int32).astype(np.int64) % n
+        found, first = np.unique(at, return_index=True)
+        if len(found) == n:
+            return first.astype(np.int32)
+        tries *= 2
+    return np.arange(n, dtype=np.int32)
 
 
 def to_ipc(table: pa.Table) -> bytes:
@@ -126,8 +159,18 @@ def packed(held):
 
 
 def to_blocks(df: DataFrame, n: int) -> DataFrame:
-    """Blocks (part, blob) of df, whose column `part` (0 to n-1) is dropped; checkpointed in the shared folder."""
-    return checkpointed(df.mapInArrow(packer, BLOCK).repartition(n, "part"))
+    """Blocks (part, blob) of df, whose column `part` (0 to n-1) is dropped; checkpointed in the shared folder.
+
+    part becomes a label that gives each block a partition of its own.
+    """
+    label = labels(n)
+
+    def labelled(batches):
+        for b in batches:
+            k = b.schema.get_field_index("part")
+            yield b.set_column(k, "part", pa.array(label[b.column(k).to_numpy()]))
+
+    return checkpointed(df.mapInArrow(lambda batches: packer(labelled(batches)), BLOCK).repartition(min(n, MOST_PARTITIONS), "part"))
 
 
 def dealt(df: DataFrame, n: int, *keys: str) -> DataFrame:
@@ -146,79 +189,29 @@ def info(rows: list[tuple]) -> pa.Table:
     return table_of(rows, INFO_NAMES, INFO_TYPES)
 
 
-# --- sorted lists of hashes to buckets, bits back -------------------------------------------------------------
-
-
-def bucket_bounds(values: np.ndarray, n: int, bits: int) -> np.ndarray:
-    """Where the sorted values below 2**bits change from one of n equal ranges to the next."""
-    edges = np.array([(k << bits) // n for k in range(n)], np.uint64)
-    return np.append(np.searchsorted(values, edges), len(values))
-
-
-def send(part: int, kind: int, keys: np.ndarray, many: np.ndarray, n: int, bits: int, extra: np.ndarray | None = None) -> list[tuple]:
-    """Rows (bucket, kind, part, blob) of the sorted unique keys; many: which of them the block has twice or more."""
-    b, width = bucket_bounds(keys, n, bits), bits // 8
-    out = []
-    for k in range(n):
-        lo, hi = b[k], b[k + 1]
-        if lo < hi:
-            raw = np.ascontiguousarray(keys[lo:hi]).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-            tail = extra[lo:hi].tobytes() if extra is not None else b""
-            out.append((k, kind, part, np.uint32(hi - lo).tobytes() + np.packbits(many[lo:hi]).tobytes() + raw + tail))
-    return out
-
-
-def received(blob: bytes, bits: int, extra: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    at, width = 4 + (n + 7) // 8, bits // 8
-    many = np.unpackbits(np.frombuffer(blob, np.uint8, at - 4, 4), count=n).astype(bool)
-    keys = np.zeros((n, 8), np.uint8)
-    keys[:, :width] = np.frombuffer(blob, np.uint8, n * width, at).reshape(n, width)
-    return keys.view(np.uint64).ravel(), many, np.frombuffer(blob, np.uint64, n, at + n * width) if extra else None
-
-
-def repeated(table: pa.Table, kind: int, bits: int, extra: bool) -> list[tuple]:
-    """One bucket's rows to (part, kind, bucket, bits): which keys occur twice or more, in one block or in several."""
-    got = [received(b, bits, extra) for b in table["blob"].to_pylist()]
-    keys, many = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-    if extra:
-        more = np.concatenate([g[2] for g in got])
-        order = np.lexsort((more, keys))
-        same = (keys[order][1:] == keys[order][:-1]) & (more[order][1:] == more[order][:-1])
-    else:
-        order = np.argsort(keys)
-        same = keys[order][1:] == keys[order][:-1]
-    hit = many[order]
-    first = np.flatnonzero(np.concatenate([[True], ~same]))
-    group = np.cumsum(np.concatenate([[True], ~same])) - 1
-    size = np.diff(np.append(first, len(order)))
-    hit = (np.logical_or.reduceat(hit, first) | (size > 1))[group] if len(order) else hit
-    back = np.zeros(len(keys), bool)
-    back[order] = hit
-    at = np.cumsum([0, *(len(g[0]) for g in got)])
-    bucket = table["part"][0].as_py()
-    return [(p, kind, bucket, np.packbits(back[a:z]).tobytes()) for p, a, z in zip(table["key"].to_pylist(), at, at[1:]) if back[a:z].any()]
-
-
-def answered(keys: np.ndarray, answers: dict[int, bytes], n: int, bits: int) -> np.ndarray:
-    """Which of the sorted unique keys the buckets found repeated."""
-    b, out = bucket_bounds(keys, n, bits), np.zeros(len(keys), bool)
-    for k, blob in answers.items():
-        lo, hi = b[k], b[k + 1]
-        out[lo:hi] = np.unpackbits(np.frombuffer(blob, np.uint8), count=hi - lo).astype(bool)
-    return out
-
-
-def answers_of(table: pa.Table, kind: int) -> dict[int, bytes]:
-    return {k: b for k, t, b in zip(table["key"].to_pylist(), table["kind"].to_pylist(), table["blob"].to_pylist()) if t == kind}
+def repeated(rows: DataFrame, *keys: str) -> DataFrame:
+    """(part, keys) of the rows (part, keys, n) whose keys' n sum to two or more; each block gives a key once."""
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    return rows.withColumn("total", total).filter("total > 1").select("part", *keys)
 
 
 def sorted_unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values, and which occur twice or more."""
+    """Sorted distinct values, and how often each occurs."""
     v = np.sort(values)
-    new = np.concatenate([[True], v[1:] != v[:-1]]) if len(v) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return v[at], np.diff(np.append(at, len(v))) > 1
+    at = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    return v[at], np.diff(np.append(at, len(v)))
+
+
+def pairs_unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and how often each occurs."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+    return a[at], b[at], np.diff(np.append(at, len(a)))
+
+
+#: Bits of a value that look it up in a table of what may be there.
+SIEVE_BITS = 22
 
 
 def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -226,3 +219,30 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     if not len(among):
         return np.zeros(len(values), bool)
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def sieve(among: np.ndarray) -> np.ndarray:
+    """A table of the lowest bits of values, for sifted()."""
+    seen = np.zeros(1 << SIEVE_BITS, bool)
+    seen[among & np.uint64((1 << SIEVE_BITS) - 1)] = True
+    return seen
+
+
+def sifted(values: np.ndarray, among: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Places of the values that are in the sorted array; most others are passed over by their lowest bits."""
+    at = np.flatnonzero(seen[values & np.uint64((1 << SIEVE_BITS) - 1)])
+    return at[member(values[at], among)]
+
+
+def sifted_pairs(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Places of the pairs (a, b) among the sorted pairs (first, second); a first value may stand with several second ones."""
+    at = sifted(a, first, seen)
+    found, going = np.zeros(len(at), bool), np.arange(len(at))
+    k = np.searchsorted(first, a[at])
+    while len(going):
+        found[going] |= second[k] == b[at[going]]
+        k += 1
+        more = ~found[going] & (k < len(first))
+        more[more] = first[k[more]] == a[at[going[more]]]
+        going, k = going[more], k[more]
+    return at[found]

@@ -1,8 +1,9 @@
 """Suffix-array dedup: bytes go that a fixed-length string covers which also starts in a document of a smaller id.
 
-Only strings whose smallest inner gram hash is chosen at two places can repeat; runs of such strings become
-segments, dealt by that hash to shards. Equal segments are one; the distinct segments of a shard are sorted by
-an induced suffix array, and its permuted common prefixes tell which strings are equal across segments.
+Only strings whose smallest inner gram hash is chosen at two places can repeat; Spark counts these grams. Runs of
+strings with a repeated gram become segments, dealt by that gram. Equal segments are one; the distinct segments
+are sorted, a bounded number at a time, by an induced suffix array, and its permuted common prefixes tell which strings
+are equal across segments. Strings of a gram with many occurrences are dealt by more bytes than the gram's, see hot_keys.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,12 +21,16 @@ from providerfx.llm import words as W
 from providerfx.llm.suffix_array import permuted_prefixes, suffix_array
 
 RANGE_BYTES = 1 << 18
-BITS = 48
-#: Bytes of distinct segments in one suffix array; segments of one hash stay together.
+#: Bytes of distinct segments in one suffix array; segments of one key stay together.
 ARRAY_BYTES = 1 << 19
-#: Shards of segments for each block, so that a shard stays small against a block's texts.
-SHARDS = 4
+#: Most strings of a segment: longer runs (of one character, say) become several, mostly equal ones.
+RUN = 64
+#: A gram chosen at more places is dealt by hot_keys.
+HOT = 2000
 LAST = np.iinfo(np.int64).max
+GRAMS = "part int, gram long, n long"
+SEGMENTS = "part int, seg int, gram long, low long, high long, bytes binary"
+FOUND = "part int, seg int, off int, run int, small long"
 
 
 class Segments:
@@ -38,6 +43,7 @@ class Segments:
         self.docs = self.table["_id"].combine_chunks().fill_null(LAST).to_numpy()
 
     def parts(self):
+        """For each range: its first byte, the hash of each gram, the smallest of each string, and which strings are whole."""
         for lo, hi in W.runs_of_docs(self.offs, RANGE_BYTES):
             base, end = int(self.offs[lo]), int(self.offs[hi])
             n = end - base
@@ -47,30 +53,52 @@ class Segments:
             for k in range(0, self.gram, 8):
                 g = (g ^ eight[k : k + m]) * W.SEEDS[0]
                 g ^= g >> np.uint64(29)
-            g = W.mix(g) >> np.uint64(64 - BITS)
-            valid = W.inside(self.offs[lo : hi + 1] - base, self.size, n)
-            low, chosen = W.minimizers(g, self.size - self.gram + 1, valid)
-            yield base, low, valid, g[chosen]
+            yield base, W.mix(g), W.inside(self.offs[lo : hi + 1] - base, self.size, n)
+
+    def minimal(self, g: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return W.minimizers(g, self.size - self.gram + 1, valid)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        return B.sorted_unique(np.concatenate([np.zeros(0, np.uint64), *(p[-1] for p in self.parts())]))
-
-    def segments(self, info: pa.Table, n: int) -> None:
-        """Sets, for each occurrence of a segment: start, length, document id and group; groups are in order of (gram, hashes)."""
-        keys, _ = self.grams()
-        keys = keys[B.answered(keys, B.answers_of(info, 0), n, BITS)]
-        starts, lens, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for base, low, valid, _ in self.parts() if len(keys) else ():
+        return B.sorted_unique(np.concatenate([np.zeros(0, np.uint64), *(g[self.minimal(g, valid)[1]] for _, g, valid in self.parts())]))
+
+    def hot_keys(self, base: int, at: np.ndarray, g: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Keys of strings by the bytes that all strings share whose gram stands at about the same place.
+
+        Places are classed by how near to either end the gram is: 0, 1, 2-3, 4-7 and so on. A string at the edge of a
+        common passage differs from others like it in the bytes on one side; a class knows about half of these.
+        """
+        last = self.size - self.gram
+        place = np.full(len(at), -1)
+        for k in range(last, -1, -1):  # the first of equal grams holds
+            place[g[at + k] == low] = k
+        edges = sorted({0, last + 1, last // 2 + 1, *(x for k in range(last.bit_length()) for x in (1 << k, last + 1 - (1 << k)))})
+        k = np.searchsorted(edges, place, "right") - 1
+        first, end = np.array(edges[:-1])[k], np.array(edges[1:])[k] - 1
+        q = base + at + place
+        return W.mix(W.span_hash(self.buf, q - first, q + self.size - end) + k.astype(np.uint64))
+
+    def segments(self, grams: np.ndarray, hot: np.ndarray) -> None:
+        """Sets, for each occurrence of a segment: start, length, document id and group; groups are in order of (key, hashes)."""
+        starts, lens, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        seen = B.sieve(grams)
+        for base, g, valid in self.parts() if len(grams) else ():
+            low = self.minimal(g, valid)[0]
             at = np.flatnonzero(valid)
-            at = at[B.member(low[at], keys)] if len(at) else at
+            at = at[B.sifted(low[at], grams, seen)] if len(at) else at
             if len(at):
-                first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (low[at[1:]] != low[at[:-1]])]))
+                key = low[at].copy()
+                if len(some := np.flatnonzero(B.member(key, hot))):
+                    key[some] = self.hot_keys(base, at[some], g, key[some])
+                new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])])
+                first = np.flatnonzero(new)
+                new |= (np.arange(len(at)) - first[np.cumsum(new) - 1]) % RUN == 0
+                first = np.flatnonzero(new)
                 starts.append(at[first] + base)
                 lens.append(np.diff(np.append(first, len(at))) - 1 + self.size)
-                grams.append(low[at[first]])
-        s, n_bytes, g = np.concatenate(starts), np.concatenate(lens), np.concatenate(grams)
-        order, group, new = grouped(self.buf, s, n_bytes, g)
-        self.starts, self.lens, self.grams_of, self.group, self.first = s[order], n_bytes[order], g[order], group, new
+                keys.append(key[first])
+        s, n_bytes, k = np.concatenate(starts), np.concatenate(lens), np.concatenate(keys)
+        order, group, new = grouped(self.buf, s, n_bytes, k)
+        self.starts, self.lens, self.keys, self.group, self.first = s[order], n_bytes[order], k[order], group, new
         self.doc = self.docs[np.searchsorted(self.offs, self.starts, "right") - 1]
 
 
@@ -132,13 +160,14 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
     """df with n_bytes, n_removed, n_spans (maximal removed runs) and the remaining bytes.
 
     Removed is each byte that a string of `size` bytes covers which also starts in a document with a smaller id;
-    strings never cross documents and are judged on the input. Without digest the remaining bytes are the column
+    strings never cross documents and are judged on the input; `size` is 16 or more. Without digest the remaining bytes are the column
     `kept` (binary: a cut may fall inside a character), else kept_sha256. A null text is an empty one. A null id
     is larger than all ids; rows that share an id, or have none, never remove from each other. Columns named like a
     result column are replaced; an empty df gives an empty result.
     """
-    spark = df.sparkSession
-    n = B.parts_of(spark)
+    if size < 16:
+        raise ValueError("size must be at least 16")
+    n = B.parts_of(df, text)
     last = "kept_sha256" if digest else "kept"
     rest = [c for c in df.columns if c not in (text, "n_bytes", "n_removed", "n_spans", last)]
     named = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
@@ -146,78 +175,52 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
     types = [df.schema[c].dataType for c in rest]
     schema = T.StructType([*(T.StructField(f"c{i}", t) for i, t in enumerate(types)), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if digest else T.BinaryType())])
 
-    def send_grams(key, table):
-        keys, many = Segments(table, size).grams()
-        return B.info(B.send(key[0].as_py(), 0, keys, many, n, BITS))
-
-    def answer_grams(table):
-        return B.info(B.repeated(table, 0, BITS, False))
-
-    def send_segments(key, table, info):
-        if not table.num_rows:
-            return B.info([])
-        x = Segments(table, size)
-        x.segments(info, n)
-        if not len(x.first):
-            return B.info([])
-        s, k, g = x.starts[x.first], x.lens[x.first], x.grams_of[x.first]
-        low, high = np.minimum.reduceat(x.doc, x.first), np.maximum.reduceat(x.doc, x.first)
-        bounds, rows = B.bucket_bounds(g, SHARDS * n, BITS), []
-        for shard in range(SHARDS * n):
-            a, z = bounds[shard], bounds[shard + 1]
-            if a < z:
-                t = pa.table({"gram": g[a:z], "size": k[a:z].astype(np.int32), "low": low[a:z], "high": high[a:z]})
-                rows.append((shard, 1, key[0].as_py(), B.to_ipc(t.append_column("bytes", pa.array([x.buf[p : p + q].tobytes() for p, q in zip(s[a:z].tolist(), k[a:z].tolist())], pa.large_binary())))))
-        return B.info(rows)
-
-    def answer_segments(key, table):
-        parts = table["key"].to_pylist()
-        got = [B.from_ipc([b]) for b in table["blob"].to_pylist()]
-        sizes = [len(x) for x in got]
-        t = pa.concat_tables(got).combine_chunks()
-        del got, table
-        buf, offs = W.flat(t["bytes"])
-        lens, low, high, grams = (np.array(t[c].to_numpy()) for c in ("size", "low", "high", "gram"))
-        lens = lens.astype(np.int64)
-        del t
-        order, group, first = grouped(buf, offs[:-1], lens, grams)
-        least = np.minimum.reduceat(low[order], first)
-        rep = order[first]
-        seg, off, run, small = least_per_string(buf, offs[:-1][rep], lens[rep], grams[rep], least, size)
-        by = np.argsort(seg, kind="stable")
-        seg, off, run, small = seg[by], off[by], run[by], small[by]
-        edge = np.searchsorted(seg, np.arange(len(first) + 1))
-        member_group = np.empty(len(order), np.int64)
-        member_group[order] = group
-        at, rows = np.cumsum([0, *sizes]), []
-        for p, a, z in zip(parts, at, at[1:]):
-            g = member_group[a:z]
-            count = edge[g + 1] - edge[g]
-            i, own = W.gathered(edge[g], count), np.repeat(np.arange(z - a), count)
-            use = small[i] < high[a:z][own]
-            i, own = i[use], own[use]
-            if len(i):
-                rows.append((p, 1, key[0].as_py(), B.to_ipc(pa.table({"seg": own.astype(np.int32), "off": off[i].astype(np.int32), "run": run[i].astype(np.int32), "small": small[i]}))))
-        return B.info(rows)
-
-    def remove(key, table, info):
-        x = Segments(table, size)
-        x.segments(info, n)
-        total = int(x.offs[-1])
-        d = np.zeros(total + 1, np.int32)
-        bounds = B.bucket_bounds(x.grams_of[x.first], SHARDS * n, BITS) if len(x.first) else None
+    def grams_of(key, table):
+        grams, times = Segments(table, size).grams()
+        return pa.table({"part": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "gram": grams.view(np.int64), "n": times})
+
+    def marked(table: pa.Table, grams: pa.Table) -> Segments:
+        x, g = Segments(table, size), grams["gram"].to_numpy().view(np.uint64)
+        x.segments(np.sort(g), np.sort(g[grams["hot"].to_numpy()]))
+        return x
+
+    def segments_of(key, table, grams):
+        x = marked(table, grams) if table.num_rows and grams.num_rows else None
+        if x is None or not len(x.first):
+            return pa.Table.from_pylist([], SEGMENT_TYPE)
+        s, k = x.starts[x.first], x.lens[x.first]
+        offs = np.concatenate([[0], np.cumsum(k)])
+        raw = pa.Array.from_buffers(pa.large_binary(), len(k), [None, pa.py_buffer(offs), pa.py_buffer(x.buf[W.gathered(s, k)])])
+        many = np.arange(len(k), dtype=np.int32)
+        cols = [np.full(len(k), key[0].as_py(), np.int32), many, x.keys[x.first].view(np.int64), np.minimum.reduceat(x.doc, x.first), np.maximum.reduceat(x.doc, x.first)]
+        return pa.table([*(pa.array(c) for c in cols), raw.cast(pa.binary())], schema=SEGMENT_TYPE)
+
+    def compared(batches):
+        """Runs of strings that also start in a smaller document, from segments that come in order of their keys."""
+        held, total = [], 0
+        for b in batches:
+            held, total = [*held, b], total + b.nbytes
+            if total >= ARRAY_BYTES * 8:
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = t["gram"].to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                yield from answers(t.slice(0, cut), size)
+                held = t.slice(cut).to_batches()
+                total = t.slice(cut).nbytes if cut else 0
+        yield from answers(pa.Table.from_batches(held, SEGMENT_TYPE).combine_chunks(), size)
+
+    def remove(key, table, grams, found):
+        x = marked(table, grams)
+        d = np.zeros(int(x.offs[-1]) + 1, np.int32)
         edge = np.append(x.first, len(x.starts))
-        for shard, blob in B.answers_of(info, 1).items():
-            t = B.from_ipc([blob])
-            g = t["seg"].to_numpy().astype(np.int64) + bounds[shard]
-            off, run, small = (np.array(t[c].to_numpy()).astype(np.int64) for c in ("off", "run", "small"))
-            count = edge[g + 1] - edge[g]
-            occ, own = W.gathered(edge[g], count), np.repeat(np.arange(len(g)), count)
-            use = x.doc[occ] > small[own]
-            occ, own = occ[use], own[use]
-            a = x.starts[occ] + off[own]
-            np.add.at(d, a, 1)
-            np.add.at(d, a + run[own] + size - 1, -1)
+        g, off, run, small = (found[c].to_numpy().astype(np.int64) for c in ("seg", "off", "run", "small"))
+        count = edge[g + 1] - edge[g]
+        occ, own = W.gathered(edge[g], count), np.repeat(np.arange(len(g)), count)
+        use = x.doc[occ] > small[own]
+        occ, own = occ[use], own[use]
+        a = x.starts[occ] + off[own]
+        np.add.at(d, a, 1)
+        np.add.at(d, a + run[own] + size - 1, -1)
         gone = np.cumsum(d[:-1]) > 0
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
@@ -234,8 +237,41 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
             out = out.append_column(name, col)
         return out
 
-    grams = B.written(blocks.groupBy("part").applyInArrow(send_grams, B.INFO).groupBy("part").applyInArrow(answer_grams, B.INFO), "grams")
-    sent = blocks.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(send_segments, B.INFO)
-    answers = sent.groupBy("part").applyInArrow(answer_segments, B.INFO)
-    out = blocks.groupBy("part").cogroup(grams.unionByName(answers).groupBy("part")).applyInArrow(remove, schema)
+    counted = blocks.groupBy("part").applyInArrow(grams_of, GRAMS).withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
+    grams = B.written(counted.filter("total > 1").select("part", "gram", (F.col("total") > HOT).alias("hot")), "grams")
+    segments = blocks.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(segments_of, SEGMENTS)
+    found = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(compared, FOUND)
+    both = grams.select("part", F.struct("gram", "hot").alias("g"), F.lit(None).cast(FOUND_STRUCT).alias("f")).union(found.select("part", F.lit(None).cast("struct<gram:long,hot:boolean>"), F.struct("seg", "off", "run", "small")))
+
+    def removed(key, table, info):
+        g, f = info["g"].combine_chunks(), info["f"].combine_chunks()
+        return remove(key, table, pa.Table.from_struct_array(g.filter(g.is_valid())), pa.Table.from_struct_array(f.filter(f.is_valid())))
+
+    out = blocks.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(removed, schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), "n_bytes", "n_removed", "n_spans", F.col("kept").alias(last))
+
+
+SEGMENT_TYPE = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("gram", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bytes", pa.binary())])
+FOUND_STRUCT = "struct<seg:int,off:int,run:int,small:long>"
+
+
+def answers(t: pa.Table, size: int):
+    """FOUND rows for segments with whole keys: runs of strings whose smallest document is below the segment's largest."""
+    if not t.num_rows:
+        return
+    buf, offs = W.flat(t["bytes"])
+    lens, keys = np.diff(offs), t["gram"].to_numpy().view(np.uint64)
+    low, high, part, seg_of = (t[c].to_numpy() for c in ("low", "high", "part", "seg"))
+    order, group, first = grouped(buf, offs[:-1], lens, keys)
+    rep = order[first]
+    seg, off, run, small = least_per_string(buf, offs[:-1][rep], lens[rep], keys[rep], np.minimum.reduceat(low[order], first), size)
+    by = np.argsort(seg, kind="stable")
+    off, run, small = off[by], run[by], small[by]
+    edge = np.searchsorted(seg[by], np.arange(len(first) + 1))
+    g = np.empty(len(order), np.int64)
+    g[order] = group
+    count = edge[g + 1] - edge[g]
+    i, own = W.gathered(edge[g], count), np.repeat(np.arange(len(g)), count)
+    use = small[i] < high[own]
+    i, own = i[use], own[use]
+    yield from pa.table({"part": part[own], "seg": seg_of[own], "off": off[i].astype(np.int32), "run": run[i].astype(np.int32), "small": small[i]}).to_batches(max_chunksize=1 << 16)

@@ -353,7 +353,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
     replaced; an empty df gives an empty result.
     """
     base_depth(percent)  # refuses others
-    n = B.parts_of(df.sparkSession)
+    n = B.parts_of(df, text)
     made = ["n_shingles", "component_id", "kept"]
     rest = [c for c in (df.columns if columns is None else columns) if c not in made]
     named = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))

@@ -1,8 +1,8 @@
 """Sum-of-squares packing of token pieces into sequences of a fixed length.
 
-Each piece goes where the sum over residual gaps of the squared number of open bins becomes smallest. Shards
-pack on their own, longest pieces first; bins that a shard leaves open are then packed again, as items of their
-fill, by fewer shards, until one shard holds them all or they no longer shrink.
+Each piece goes where the sum over residual gaps of the squared number of open bins becomes smallest; a new bin is one
+of the choices. Shards of a bounded number of pieces pack on their own, longest pieces first. Full bins stay; the
+pieces of the bins that a level leaves open are packed again by fewer shards, as long as that takes fewer bins.
 """
 
 from __future__ import annotations
@@ -18,7 +18,10 @@ from providerfx.llm import blocks as B
 from providerfx.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PLACED = "item_bin long, place long"
+PLACED = "item long, length long, bin long, base long, fill long"
+#: Pieces that one task packs at most, about, and the fewest that are worth a task.
+SHARD_ITEMS, LEAST_ITEMS = 20_000, 2_000
+MOST_LEVELS = 16
 
 
 def pieces(df: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,11 +49,7 @@ def pieces(df: DataFrame, tokenizer: str, size: int, end_id: int, id_col: str =
 
 
 def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Bin and offset of every item, and the number of bins.
-
-    Items are placed longest first, and a new bin is opened only for an item that fits in no open one: with
-    free opening the rule leaves about 0.5 % more bins on these lengths.
-    """
+    """Bin and offset of every item, and the number of bins; the longest items are placed first."""
     order = np.argsort(-lengths, kind="stable")
     bins, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
     count = np.zeros(size + 1, np.int64)  # open bins by residual gap
@@ -58,12 +57,12 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     n = 0
     for i in order.tolist():
         s = int(lengths[i])
-        # change of the sum of squares when a bin of gap g becomes one of gap g-s; closing a bin adds nothing
-        gain = -2 * count[s:] + 1
-        gain[1:] += 2 * count[1 : size - s + 1] + 1
-        gain[count[s:] == 0] = np.iinfo(np.int64).max
-        k = int(np.argmin(gain))
-        if gain[k] != np.iinfo(np.int64).max:
+        # change of the sum of squares when a bin of gap g becomes one of gap g-s; an empty or a full bin counts nothing
+        change = 1 - 2 * count[s:]
+        change[1:] += 2 * count[1 : size - s + 1] + 1
+        change[count[s:] == 0] = np.iinfo(np.int64).max
+        k = int(np.argmin(change))
+        if change[k] <= (2 * count[size - s] + 1 if s < size else 0):  # a new bin's; of equal ones an open bin is taken
             g = s + k
             b = stack[g].pop()
             count[g] -= 1
@@ -76,44 +75,55 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return bins, offset, n
 
 
-def placed(items: DataFrame, shards: int, size: int) -> DataFrame:
-    """(item, length) to (item, bin, base, fill): each shard packs its items."""
+def placed(items: DataFrame, shards: int, size: int, level: int) -> DataFrame:
+    """(item, length) to PLACED: each shard packs its items."""
 
     def shard(key, table):
-        lengths = table["length"].to_numpy()
         order = np.argsort(table["item"].to_numpy(), kind="stable")
-        bins, offset, n = sum_of_squares(lengths[order], size)
-        fill = np.bincount(bins, weights=lengths[order], minlength=n).astype(np.int64)
-        return pa.table({"item": table["item"].take(pa.array(order)), "bin": pa.array((np.int64(key[0].as_py()) << 40) + bins), "base": pa.array(offset), "fill": pa.array(fill[bins])})
+        lengths = table["length"].to_numpy()[order]
+        bins, offset, n = sum_of_squares(lengths, size)
+        fill = np.bincount(bins, weights=lengths, minlength=n).astype(np.int64)
+        first = (np.int64(level) << 58) + (np.int64(key[0].as_py()) << 24)
+        return pa.table({"item": table["item"].take(pa.array(order)), "length": lengths, "bin": first + bins, "base": offset, "fill": fill[bins]})
 
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(shard, "item long, bin long, base long, fill long")
+    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item", F.lit(level)), F.lit(shards)))
+    return dealt.groupBy("shard").applyInArrow(shard, PLACED)
 
 
-def pack_sequences(items: DataFrame, size: int = 2048, fan_in: int = 32) -> DataFrame:
+def pack_sequences(items: DataFrame, size: int = 2048) -> DataFrame:
     """items (any columns, one of them `length`, 1 to size) with sequence_id and offset.
 
     Equal rows are items of their own. Lengths over `size` or below 1, or null, raise an error in the job. An
-    empty df gives an empty result. Columns named sequence_id or offset are replaced.
+    empty df gives an empty result. Columns named sequence_id, offset or item are replaced.
     """
     spark = items.sparkSession
-    shards = B.parts_of(spark)
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
     length = F.when((F.col("length") >= 1) & (F.col("length") <= size), F.col("length")).otherwise(F.raise_error(F.lit(f"a length is not in 1..{size}")).cast("long"))
-    base = B.written(items.drop("sequence_id", "offset").withColumn("length", length.cast("long")).withColumn("item", F.monotonically_increasing_id()), "items")
-    level = B.written(placed(base.select("item", "length"), shards, size), "bins")
-    total = level.select("item", F.col("bin").alias("sequence_id"), F.col("base").alias("offset"))
-    k = 0
-    while shards > 1:
-        # full bins stay; the open ones are the items of the next level, in fewer shards
-        k, shards = k + 1, max(1, shards // fan_in)
-        open_bins = level.filter(F.col("fill") < size).groupBy("bin").agg(F.first("fill").alias("length"))
-        level = B.written(placed(open_bins.withColumnRenamed("bin", "item"), shards, size), f"bins{k}")
-        up = level.select(F.col("item").alias("sequence_id"), (F.col("bin") + F.lit(k << 56)).alias("up"), "base")
-        level = level.withColumn("bin", F.col("bin") + F.lit(k << 56))
-        total = total.join(up, "sequence_id", "left").select("item", F.coalesce("up", "sequence_id").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset"))
-    return base.join(total, "item").drop("item")
+    base = B.written(items.drop("sequence_id", "offset", "item").withColumn("length", length.cast("long")).withColumn("item", F.monotonically_increasing_id()), "items")
+    left, settled, open_bins, n = base.select("item", "length"), [], None, base.count()
+    for level in range(MOST_LEVELS):
+        shards = max(1, -(-n // SHARD_ITEMS), min(most, n // LEAST_ITEMS))
+        found = B.written(placed(left, shards, size, level), f"bins{level}")
+        is_open = F.col("fill") < size
+        bins, still_open, n = found.filter("base = 0").agg(F.count("*"), F.count(F.when(is_open, 1))).head() + found.filter(is_open).agg(F.count("*")).head()
+        if open_bins is not None and bins >= open_bins[1]:  # the level before took no more bins
+            settled.append(open_bins[0])
+            break
+        settled.append(found.filter(~is_open))
+        open_bins, left = (found.filter(is_open), still_open), found.filter(is_open).select("item", "length")
+        if not n:
+            break
+    else:
+        settled.append(open_bins[0])
+    total = settled[0]
+    for more in settled[1:]:
+        total = total.union(more)
+    return base.join(total.select("item", F.col("bin").alias("sequence_id"), F.col("base").alias("offset")), "item").drop("item")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, size: int = 2048, end_id: int = 0, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """PIECES with sequence_id and offset. A null text is packed as its end id alone; so is an empty one."""
+    """PIECES with sequence_id and offset. A null text is packed as its end id alone; so is an empty one.
+
+    Other columns are dropped; repeated rows and null ids are documents of their own; an empty df gives an empty result.
+    """
     return pack_sequences(pieces(df, tokenizer, size, end_id, id_col, text), size)

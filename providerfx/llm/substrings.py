@@ -1,8 +1,9 @@
 """Substring dedup: Rabin-Karp hashes of every window of a fixed number of words, counted over all documents.
 
-A window can only repeat if the smallest of its inner gram hashes is chosen at two places, so blocks first count
-these few hashes; then the 128-bit window hashes of what is left. Windows that repeat merge into maximal removal
-intervals. Both counts travel as sorted hash lists, with one bit for each hash back; texts move once, into blocks.
+Spark counts the windows by two 64-bit hashes over two independent hashes of their words. A window can only repeat if
+the smallest of its inner gram hashes is chosen at two places, so the few chosen grams are counted first, and windows
+whose gram stands alone are not sent. Windows that repeat merge into maximal removal intervals. Texts move once, into
+blocks.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 
 RANGE_BYTES = 1 << 19
-GRAM_BITS, WINDOW_BITS = 48, 64
+#: Rows of hashes in an Arrow batch on their way to Spark.
+SEND_ROWS = 1 << 16
+GRAMS, WINDOWS = "part int, gram long, n long", "part int, a long, b long, n long"
 
 
 class Windows:
@@ -30,43 +33,56 @@ class Windows:
         self.window, self.gram = window, (window + 1) // 2
         self.table = B.from_ipc(table["blob"].to_pylist())
         self.buf, self.offs = W.flat(self.table["text"])
-        self.ranges = W.runs_of_docs(self.offs, RANGE_BYTES)
 
     def parts(self):
-        """For each range: first document, word offsets, hash of each word, smallest gram of each window, valid windows, chosen grams."""
-        for lo, hi in self.ranges:
+        """For each range: its documents, word offsets, two hashes of each word (the second made on call) and the valid window starts as flags."""
+        for lo, hi in W.runs_of_docs(self.offs, RANGE_BYTES):
             own = self.offs[lo : hi + 1] - self.offs[lo]
             b = np.concatenate([self.buf[self.offs[lo] : self.offs[hi]], np.zeros(16, np.uint8)])
             starts, ends, woffs = W.spans(b, own, W.NOT_WHITE)
-            h = W.span_hash(b, starts, ends)
-            gram = W.rolling(h, self.gram) >> np.uint64(64 - GRAM_BITS)
-            valid = W.inside(woffs, self.window, len(h))
-            low, chosen = W.minimizers(gram, self.window - self.gram + 1, valid)
-            yield lo, hi, woffs, h, low, valid, gram[chosen]
+            valid = W.inside(woffs, self.window, len(starts))
+            yield lo, hi, woffs, W.span_hash(b, starts, ends), lambda b=b, s=starts, e=ends: W.span_hash(b, s, e, 1), valid
+
+    def minimal(self, h: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The smallest gram of each window, and the chosen grams."""
+        gram = W.rolling(h, self.gram)
+        low, chosen = W.minimizers(gram, self.window - self.gram + 1, valid)
+        return low, gram[chosen]
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        return B.sorted_unique(np.concatenate([np.zeros(0, np.uint64), *(p[-1] for p in self.parts())]))
+        return B.sorted_unique(np.concatenate([np.zeros(0, np.uint64), *(self.minimal(h, valid)[1] for *_, h, _, valid in self.parts())]))
 
-    def candidates(self, repeated: np.ndarray):
-        """For each range: its document range, word offsets, and starts and both hashes of the windows whose gram repeats."""
-        for lo, hi, woffs, h, low, valid, _ in self.parts():
+    def pairs(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Both hashes of the windows whose gram is among these, and how often the block has each."""
+        got, seen = [np.zeros((2, 0), np.uint64)], B.sieve(grams)
+        for *_, h, second, valid in self.parts():
             at = np.flatnonzero(valid)
-            at = at[B.member(low[at], repeated)] if len(at) else at
-            yield lo, hi, woffs, at, (W.rolling(h, self.window, 0)[at] if len(at) else at.astype(np.uint64)), (W.rolling(h, self.window, 1)[at] if len(at) else at.astype(np.uint64))
-
-
-def both_unique(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order, and which occur twice or more."""
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return a[at], b[at], np.diff(np.append(at, len(a))) > 1
-
-
-def repeated_grams(w: Windows, info: pa.Table, n: int) -> np.ndarray:
-    keys, _ = w.grams()
-    return keys[B.answered(keys, B.answers_of(info, 0), n, GRAM_BITS)]
+            at = at[B.sifted(self.minimal(h, valid)[0][at], grams, seen)] if len(at) else at
+            if len(at):
+                got.append(np.stack([W.rolling(h, self.window, 0)[at], W.rolling(second(), self.window, 1)[at]]))
+        return B.pairs_unique(*np.concatenate(got, axis=1))
+
+    def gone(self, a: np.ndarray, b: np.ndarray):
+        """For each range: its documents, word offsets, and which words the windows with one of these pairs of hashes cover."""
+        seen = B.sieve(a)
+        for lo, hi, woffs, h, second, valid in self.parts():
+            d, total = np.zeros(len(h) + self.window + 1, np.int64), len(h)
+            at = np.flatnonzero(valid) if len(a) else np.zeros(0, np.int64)
+            if len(at):
+                first = W.rolling(h, self.window, 0)[at]
+                some = B.sifted(first, a, seen)
+                if len(some):
+                    at = at[some][B.sifted_pairs(first[some], W.rolling(second(), self.window, 1)[at[some]], a, b, seen)]
+                    np.add.at(d, at, 1)
+                    np.add.at(d, at + self.window, -1)
+            yield lo, hi, woffs, np.cumsum(d)[:total] > 0
+
+
+def unsigned(table: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of hashes, in the order of the first, then the second."""
+    cols = [table[c].to_numpy().view(np.uint64) for c in names]
+    order = np.lexsort(cols[::-1])
+    return [c[order] for c in cols]
 
 
 def dedup_substrings(df: DataFrame, window: int = 35, text: str = "text", id_col: str = "doc_id", digest: bool = False) -> DataFrame:
@@ -78,8 +94,7 @@ def dedup_substrings(df: DataFrame, window: int = 35, text: str = "text", id_col
     kept words joined by one space) takes the place of the text. Repeated rows are documents of their own, so they
     lose their long passages. Columns named like a result column are replaced; an empty df gives an empty result.
     """
-    spark = df.sparkSession
-    n = B.parts_of(spark)
+    n = B.parts_of(df, text)
     rest = [c for c in df.columns if c not in (text, "n_words", "n_removed", *(["kept_sha256"] if digest else []))]
     named = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.col(f"`{text}`").alias("text"))
     key = [f"c{rest.index(id_col)}"] if id_col in rest else []
@@ -88,30 +103,21 @@ def dedup_substrings(df: DataFrame, window: int = 35, text: str = "text", id_col
     types = [df.schema[c].dataType for c in rest]
     schema = T.StructType([*(T.StructField(f"c{i}", t) for i, t in enumerate(types)), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
-    def send_grams(key, table):
-        keys, many = Windows(table, window).grams()
-        return B.info(B.send(key[0].as_py(), 0, keys, many, n, GRAM_BITS))
+    def rows_of(part: int, names: list[str], *cols: np.ndarray) -> pa.Table:
+        whole = pa.table({"part": pa.array(np.full(len(cols[0]), part, np.int32)), **{c: pa.array(x.astype(np.uint64).view(np.int64)) for c, x in zip(names, cols)}})
+        return pa.Table.from_batches(whole.to_batches(max_chunksize=SEND_ROWS), whole.schema)
 
-    def send_windows(key, table, info):
-        if not table.num_rows:
-            return B.info([])
-        w = Windows(table, window)
-        got = [(a, b) for *_, a, b in w.candidates(repeated_grams(w, info, n))]
-        a, b, many = both_unique(*(np.concatenate([np.zeros(0, np.uint64), *(g[k] for g in got)]) for k in (0, 1)))
-        return B.info(B.send(key[0].as_py(), 1, a, many, n, WINDOW_BITS, b))
+    def grams_of(key, table):
+        return rows_of(key[0].as_py(), ["gram", "n"], *Windows(table, window).grams())
 
-    def remove(key, table, info):
+    def windows_of(key, table, grams):
+        got = Windows(table, window).pairs(*unsigned(grams, "gram")) if table.num_rows and grams.num_rows else [np.zeros(0, np.uint64)] * 3
+        return rows_of(key[0].as_py(), ["a", "b", "n"], *got)
+
+    def remove(key, table, pairs):
         w = Windows(table, window)
-        found = list(w.candidates(repeated_grams(w, info, n)))
-        a, _, _ = both_unique(*(np.concatenate([np.zeros(0, np.uint64), *(f[k] for f in found)]) for k in (4, 5)))
-        a = a[B.answered(a, B.answers_of(info, 1), n, WINDOW_BITS)]
         texts, n_words, n_removed, kept = w.table["text"], [], [], []
-        for lo, hi, woffs, at, h, _ in found:
-            hit = at[B.member(h, a)]
-            d = np.zeros(int(woffs[-1]) + window + 1, np.int64)
-            np.add.at(d, hit, 1)
-            np.add.at(d, hit + window, -1)
-            gone = np.cumsum(d)[: int(woffs[-1])] > 0
+        for lo, hi, woffs, gone in w.gone(*unsigned(pairs, "a", "b")):
             lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[woffs])
             n_words.append(np.diff(woffs))
             n_removed.append(lost)
@@ -127,13 +133,8 @@ def dedup_substrings(df: DataFrame, window: int = 35, text: str = "text", id_col
             out = out.append_column(name, col)
         return out
 
-    def answer(kind, bits, extra):
-        return lambda table: B.info(B.repeated(table, kind, bits, extra))
-
-    grams = blocks.groupBy("part").applyInArrow(send_grams, B.INFO).groupBy("part").applyInArrow(answer(0, GRAM_BITS, False), B.INFO)
-    grams = B.written(grams, "grams")
-    sent = blocks.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(send_windows, B.INFO)
-    windows = sent.groupBy("part").applyInArrow(answer(1, WINDOW_BITS, True), B.INFO)
-    out = blocks.groupBy("part").cogroup(grams.unionByName(windows).groupBy("part")).applyInArrow(remove, schema)
+    grams = B.repeated(blocks.groupBy("part").applyInArrow(grams_of, GRAMS), "gram")
+    windows = B.repeated(blocks.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(windows_of, WINDOWS), "a", "b")
+    out = blocks.groupBy("part").cogroup(windows.groupBy("part")).applyInArrow(remove, schema)
     cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(rest)]
     return out.select(*cols, "n_words", "n_removed", F.col("kept").alias(kept_name))

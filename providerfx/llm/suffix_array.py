@@ -1,8 +1,9 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
-The scans of induced sorting go bucket by bucket: all suffixes of a bucket that are known at one time induce
-their predecessors at once, so a bucket takes as many steps as its longest run of one character. The reduced
-string of names is ranked by doubling, which is vectorised for any alphabet.
+Suffixes are classified by whether they are smaller than the next one. The substrings between leftmost-smaller places
+are sorted by a first induction and named; if names repeat, the string of names is sorted the same way, recursively;
+a second induction then sorts all suffixes. An induction is one scan over the array in each direction. It takes as
+many entries at a time as are final, that is, up to the first place that they themselves fill, for any alphabet.
 """
 
 from __future__ import annotations
@@ -11,121 +12,106 @@ import numpy as np
 
 from providerfx.llm.words import load
 
+#: Entries that a scan tries to take at a time, at least and at first.
+STEP = 256
+
 
 def classify(t: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than the next one; t ends with a unique smallest character."""
     up = np.zeros(len(t), bool)
-    d = t[1:].astype(np.int32) - t[:-1]
+    d = np.diff(t)
     differs = np.flatnonzero(d)
-    nxt = np.searchsorted(differs, np.arange(len(d)))
-    up[:-1] = d[differs[nxt]] > 0
+    up[:-1] = d[differs[np.searchsorted(differs, np.arange(len(d)))]] > 0
     up[-1] = True
     return up
 
 
-def induced(t: np.ndarray, up: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """All suffixes in order, induced from the leftmost-smaller ones (`lms`) in their order."""
-    found: list[list[np.ndarray]] = [[] for _ in range(size)]
-    chars = t[lms]
-    order = np.argsort(chars, kind="stable")
-    seeds = np.split(lms[order], np.searchsorted(chars[order], np.arange(1, size)))
+def ranks(values: np.ndarray) -> np.ndarray:
+    """How many equal values stand before each."""
+    order = np.argsort(values, kind="stable")
+    v = values[order]
+    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+    out = np.empty(len(v), np.int64)
+    out[order] = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
+    return out
+
 
-    def deal(prev: np.ndarray, to: list[list[np.ndarray]]) -> None:
+def scan(sa: np.ndarray, t: np.ndarray, up: np.ndarray, edge: np.ndarray, smaller: bool) -> None:
+    """Fill in the predecessors that are larger (left to right) or smaller (right to left) than the entries of sa; edge: the next place of each character."""
+    n, at, step, way = len(sa), 0, STEP, -1 if smaller else 1
+    view = sa[::way]  # the scan always goes up; places count from its start
+    place = (lambda c: n - 1 - edge[c]) if smaller else (lambda c: edge[c])
+    while at < n:
+        z = min(n, at + step)
+        own = np.flatnonzero(view[at:z] > 0)
+        prev = view[at:z][own] - 1
+        use = up[prev] == smaller
+        prev, own = prev[use], own[use]
         c = t[prev]
-        by = np.argsort(c, kind="stable")
-        c, prev = c[by], prev[by]
-        at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        for a, z in zip(at.tolist(), [*at[1:].tolist(), len(c)]):
-            to[c[a]].append(prev[a:z])
-
-    def before(cur: np.ndarray, smaller: bool) -> np.ndarray:
-        cur = cur[cur > 0] - 1
-        return cur[up[cur] == smaller]
-
-    larger: list[np.ndarray] = [np.zeros(0, np.int32)] * size
-    for c in range(size):  # suffixes larger than the next one, left to right
-        cur, done = np.concatenate([np.zeros(0, np.int32), *found[c]]), []
-        while len(cur):
-            done.append(cur)
-            prev = before(cur, False)
-            same = t[prev] == c
-            if len(prev) and not same.all():
-                deal(prev[~same], found)
-            cur = prev[same]
-        larger[c] = np.concatenate([np.zeros(0, np.int32), *done])
-        if len(seeds[c]) and len(prev := before(seeds[c], False)):
-            deal(prev, found)
-    found = [[] for _ in range(size)]
-    out: list[np.ndarray] = []
-    for c in range(size - 1, -1, -1):  # suffixes smaller than the next one, right to left
-        cur, done = np.concatenate([np.zeros(0, np.int32), *found[c]]), []
-        while len(cur):
-            done.append(cur)
-            prev = before(cur, True)
-            same = t[prev] == c
-            if len(prev) and not same.all():
-                deal(prev[~same], found)
-            cur = prev[same]
-        if len(larger[c]) and len(prev := before(larger[c][::-1], True)):
-            deal(prev, found)
-        out.append(np.concatenate([np.zeros(0, np.int32), *done])[::-1])
-        out.append(larger[c])
-    if size and not len(out[-2]):
-        out[-2] = np.array([len(t) - 1], np.int32)
-    return np.concatenate(out[::-1])
-
-
-def ranked(names: np.ndarray) -> np.ndarray:
-    """Suffixes of a string of names in order, by doubling."""
-    n, rank, k = len(names), names.astype(np.int64), 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - k] = rank[k:] + 1
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        k *= 2
-        if new[-1] == n - 1 or k >= n:
-            return order
+        to = place(c) + ranks(c)
+        end = int(to.min(initial=z))
+        if end < z:  # entries from there on are not final yet
+            keep = own < end - at
+            prev, c, to = prev[keep], c[keep], to[keep]
+        view[to] = prev
+        np.add.at(edge, c, way)
+        step = max(STEP, 2 * (end - at)) if end < z else 2 * step
+        at = min(end, z)
 
 
-def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Starts of the suffixes of a byte string in order."""
-    if not len(s):
-        return np.zeros(0, np.int32)
-    t = np.zeros(len(s) + 1, np.int16)
-    t[:-1] = s.astype(np.int16) + 1
-    size = int(t.max()) + 1
+def induced(t: np.ndarray, up: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """All suffixes in order, induced from the leftmost-smaller ones (`lms`) in their order."""
+    count = np.bincount(t, minlength=size)
+    ends = np.cumsum(count)
+    sa = np.full(len(t), -1, np.int64)
+    c = t[lms]
+    sa[ends[c] - np.bincount(c, minlength=size)[c] + ranks(c)] = lms
+    scan(sa, t, up, ends - count, False)
+    sa[(sa >= 0) & up[sa]] = -1
+    scan(sa, t, up, ends - 1, True)
+    sa[0] = len(t) - 1
+    return sa
+
+
+def names_of(t: np.ndarray, by: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Number of each substring from by[i] up to and with end[by[i]]; equal neighbours share one."""
+    size = end[by] - by
+    equal = size[1:] == size[:-1]
+    at, k = np.flatnonzero(equal), 0
+    while at.size:
+        differ = t[by[at] + k] != t[by[at + 1] + k]
+        equal[at[differ]] = False
+        at = at[~differ]
+        at, k = at[size[at] > k], k + 1
+    return np.concatenate([[0], np.cumsum(~equal)])
+
+
+def ordered(t: np.ndarray, size: int) -> np.ndarray:
+    """All suffixes of t in order; its characters are below `size`, the last is the only 0."""
+    if len(t) == 1:
+        return np.zeros(1, np.int64)
+    t = t.astype(np.int16 if size <= 1 << 15 else np.int32)  # short characters are sorted by radix
     up = classify(t)
-    lms = np.flatnonzero(up[1:] & ~up[:-1]).astype(np.int32) + 1
-    # sort the substrings from one leftmost-smaller place to the next, and name them
-    first = induced(t, up, lms, size)
+    lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     is_lms = np.zeros(len(t), bool)
     is_lms[lms] = True
-    by = first[is_lms[first]]
-    end = np.empty(len(t), np.int32)
-    end[lms] = np.append(lms[1:], len(t) - 1) + 1
-    lens = end[by] - by
-    pad = np.concatenate([s, np.zeros(24, np.uint8)])
-    eight = load(pad)
-    equal = lens[1:] == lens[:-1]
-    at, k = np.flatnonzero(equal), 0
-    while at.size:
-        left = lens[at + 1] - k
-        keep = (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1)
-        keep[left >= 8] = np.uint64(2**64 - 1)
-        a, b = np.minimum(by[at + 1] + k, len(eight) - 1), np.minimum(by[at] + k, len(eight) - 1)
-        ok = (eight[a] & keep) == (eight[b] & keep)
-        equal[at[~ok]] = False
-        k += 8
-        at = at[ok & (left > 8)]
-    names = np.empty(len(t), np.int64)
-    names[by] = np.concatenate([[0], np.cumsum(~equal)])
-    reduced = names[lms]
-    order = by if int(reduced.max()) == len(lms) - 1 else lms[ranked(reduced)]
-    return induced(t, up, order, size)[1:]
+    by = induced(t, up, lms, size)
+    by = by[is_lms[by]]
+    end = np.empty(len(t), np.int64)
+    end[lms] = np.append(lms[1:], len(t) - 1)
+    found = names_of(t, by, end)
+    if found[-1] < len(lms) - 1:
+        names = np.empty(len(t), np.int64)
+        names[by] = found
+        by = lms[ordered(names[lms], int(found[-1]) + 1)]
+    return induced(t, up, by, size)
+
+
+def suffix_array(s: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of a byte string in order."""
+    t = np.zeros(len(s) + 1, np.int32)
+    t[:-1] = s.astype(np.int32) + 1
+    return ordered(t, int(t.max()) + 1)[1:]
 
 
 def permuted_prefixes(s: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:

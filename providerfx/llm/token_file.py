@@ -120,7 +120,7 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, id_col: str = "do
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     raw_path = f"{path}/raw"
-    encode_blocks(docs, tokenizer, end_id, split_points(docs, "doc_id", B.parts_of(spark))).write.parquet(raw_path)
+    encode_blocks(docs, tokenizer, end_id, split_points(docs, "doc_id", B.parts_of(docs, "text"))).write.parquet(raw_path)
     spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files, which nothing reads any more
     raw = spark.read.schema(RAW).parquet(raw_path)
     lengths = H.code_lengths(global_counts(raw))
