@@ -121,17 +121,17 @@ def from_ipc(blobs) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(pa.py_buffer(b)).read_all() for b in blobs]).combine_chunks()
 
 
-#: Rows of an Arrow batch, which the JVM holds outside its heap; texts are long rows.
-BATCH_ROWS = 1500
+#: Bytes of an Arrow batch, about, which the JVM holds outside its heap; texts are rows of any length.
+BATCH_BYTES = 4 << 20
 #: Bytes of rows that are packed together.
 PACK_BYTES = 24 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's rows of an Arrow batch to BATCH_ROWS."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's bytes of an Arrow batch to BATCH_BYTES."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
 def packer(batches):

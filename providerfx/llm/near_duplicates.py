@@ -7,7 +7,8 @@ are made anew from the text blocks; components of confirmed links are found with
 
 That joins most of what belongs together at little cost. What it leaves apart is compared in full: in a region that
 holds several components, first all classes with the best linked one, then every two classes of different components.
-Two classes that share a region are so either compared or known to be connected, however crowded the region is.
+Two classes that share a region are so either compared or known to be connected, however crowded the region is. Large
+regions do the latter in cells of a bounded number of classes, inside of tasks: only links leave them, no pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ LEAST_PERCENT = 50
 SMALL_REGION = 4
 #: Classes of a region on each side of a cell, in which every two are compared.
 CELL = 256
+#: A region of several components and up to so many classes gives its few pairs to the same confirmation as neighbours.
+PAIRED_REGION = 16
+#: Columns of a cell's table of sets at a time.
+CELL_COLUMNS = 8192
 SET_BYTES = 6
 _RNG = np.random.default_rng(20260101)
 XORS = _RNG.integers(0, 2**63, TREES * LEVELS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -219,6 +224,7 @@ def apart(placed: DataFrame, roots: DataFrame) -> DataFrame:
     """(region, tree, NODE, regions, component): the classes of each region that holds several components."""
     at = in_component(placed, roots)
     several = at.select(F.explode("regions").alias("region"), "component").groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
+    several = B.written(several, "several")  # as a table of its own, so that Spark can split a large region's rows in the joins
     keys = at.select("node", "mark", F.posexplode("regions").alias("tree", "region")).join(several, "region", "left_semi")
     return keys.join(at, ["node", "mark"]).select("region", "tree", *NODE, "regions", "component")
 
@@ -236,26 +242,126 @@ def with_hubs(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     best = F.max(F.struct(F.coalesce("n_links", F.lit(0)).alias("n_links"), *NODE, "component")).alias("h")
     hubs = members.join(ends, "node", "left").groupBy("region").agg(best).select("region", "h.*").select("region", *side("a"))
+    hubs = B.written(hubs, "hubs")
     return ordered(members.select("region", *side("b")).join(hubs, "region").filter(linkable(percent)))
 
 
-def across_components(members: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Every two classes of a region in different components, once, in the first tree that has them together.
-
-    The classes outside of a region's largest component meet all others, in cells of some CELL x CELL, so the
-    work is in proportion to the pairs and no region is bound to one task.
-    """
+def regions_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members of regions that still hold several components, with their component now, the region's largest one (main), and rows and cols of cells."""
     at = in_component(members.drop("component"), roots)
     of = at.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"))
-    of = of.filter("all > m.n").select("region", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("rows"), F.ceil(F.col("all") / CELL).alias("cols"))
-    at = B.written(at.join(of, "region"), "apart")
+    of = of.filter("all > m.n").select("region", "all", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("rows"), F.ceil(F.col("all") / CELL).alias("cols"))
+    return at.join(B.written(of, "regions"), "region")
+
+
+def paired(at: DataFrame, percent: int) -> DataFrame:
+    """Every two classes of a region in different components, once, in the first tree that has them together."""
+    a = at.select("region", "tree", *side("a"), F.col("regions").alias("a_regions"))
+    b = at.select("region", *side("b"), F.col("regions").alias("b_regions"))
+    first = F.expr("array_position(zip_with(a_regions, b_regions, (x, y) -> x = y), true) = tree + 1")
+    return ordered(a.join(b, "region").filter("a_node < b_node").filter(linkable(percent)).filter(first))
+
+
+CELL_KEY = ["region", "row", "col"]
+CLASS = ["node", "size", "component", "main", "tree", "regions"]
+WANTED = [*CELL_KEY, "left", *CLASS]
+
+
+def in_cells(at: DataFrame) -> DataFrame:
+    """The classes of a region outside of its main component meet all classes in cells of some CELL x CELL."""
     cell = lambda n: F.pmod(F.xxhash64("node", "mark"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    a = at.filter("component <> main").select("region", "tree", *side("a"), F.col("regions").alias("a_regions"), "main", cell("rows").alias("row"), every("cols").alias("col"))
-    b = at.select("region", *side("b"), F.col("regions").alias("b_regions"), cell("cols").alias("col"), every("rows").alias("row"))
-    once = (F.col("b_component") == F.col("main")) | (F.col("a_node") < F.col("b_node"))
-    first = F.expr("array_position(zip_with(a_regions, b_regions, (x, y) -> x = y), true) = tree + 1")
-    return a.join(b, ["region", "row", "col"]).filter(linkable(percent) & once).filter(first)
+    cols = [F.col("home").cast("int").alias("part"), "mark", "region"]
+    a = at.filter("component <> main").select(*cols, cell("rows").alias("row"), every("cols").alias("col"), F.lit(True).alias("left"), *CLASS)
+    b = at.select(*cols, every("rows").alias("row"), cell("cols").alias("col"), F.lit(False).alias("left"), *CLASS)
+    return a.union(b)
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every two sets of sorted distinct values, one from each list."""
+    va, vb = np.concatenate(a), np.concatenate(b)
+    both = np.intersect1d(va, vb)
+    out = np.zeros((len(a), len(b)), np.float32)
+    entries = []
+    for sets, v in ((a, va), (b, vb)):
+        own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        hit = np.flatnonzero(B.member(v, both))
+        col = np.searchsorted(both, v[hit])
+        by = np.argsort(col, kind="stable")
+        entries.append((own[hit][by], col[by]))
+    for lo in range(0, len(both), CELL_COLUMNS):
+        tables = []
+        for (own, col), n in zip(entries, out.shape):
+            i, j = np.searchsorted(col, (lo, lo + CELL_COLUMNS))
+            t = np.zeros((n, min(CELL_COLUMNS, len(both) - lo)), np.float32)
+            t[own[i:j], col[i:j] - lo] = 1
+            tables.append(t)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
+
+
+def links_of_cell(t: pa.Table, percent: int) -> pa.Table:
+    """(a, b) of the linked classes of different components in one cell."""
+    no_links = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    col = lambda c: t[c].to_numpy()
+    left = np.flatnonzero(t["left"].to_numpy())
+    right = np.flatnonzero(~t["left"].to_numpy())
+    if not len(left) or not len(right):
+        return no_links
+    node, size, component = col("node"), col("size"), col("component")
+    regions = np.stack(t["regions"].to_numpy())
+    a, b = size[left][:, None], size[right][None]
+    ok = (component[left][:, None] != component[right][None]) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+    ok &= (component[right] == col("main")[0])[None] | (node[left][:, None] < node[right][None])
+    i, j = np.nonzero(ok)
+    first = (regions[left[i]] == regions[right[j]]).argmax(1) == col("tree")[0]  # else they meet in the cell of an earlier tree
+    i, j = i[first], j[first]
+    if not len(i):
+        return no_links
+    x, y = np.unique(i), np.unique(j)
+    raw = t["set"].combine_chunks()
+    sets = lambda at: [np.frombuffer(raw[k].as_buffer(), np.uint64) for k in at.tolist()]
+    both = overlaps(sets(left[x]), sets(right[y]))[np.searchsorted(x, i), np.searchsorted(y, j)]
+    link = 100 * both >= percent * (size[left[i]] + size[right[j]] - both)
+    return pa.table({"a": node[left[i[link]]], "b": node[right[j[link]]]})
+
+
+def cell_links(blocks: DataFrame, wanted: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(a, b) of all links in the cells; the sets of the classes travel to their cells, and nothing else leaves a cell."""
+    fields = "region long, row long, col long, left boolean, node long, size long, component long, main long, tree int, regions array<long>, set binary"
+    schema = pa.schema([(c, {"left": pa.bool_(), "tree": pa.int32(), "regions": pa.list_(pa.int64()), "set": pa.binary()}.get(c, pa.int64())) for c in [*WANTED, "set"]])
+
+    def with_sets(key, table, asked):
+        if not asked.num_rows:
+            return schema.empty_table()
+        node, mark = asked["node"].to_numpy(), asked["mark"].to_numpy()
+        order = np.lexsort((mark, node))
+        new = np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (mark[order][1:] != mark[order][:-1])])
+        of = np.empty(len(node), np.int64)
+        of[order] = np.cumsum(new) - 1
+        sets = pa.array([np.ascontiguousarray(x).tobytes() for x in sets_of(table, node[order][new], mark[order][new], shingle)], pa.binary())
+        return asked.select(WANTED).append_column("set", sets.take(pa.array(of))).cast(schema)
+
+    def compared(batches):
+        held = []
+        for b in batches:
+            held.append(b)
+            key = [b.column(c) for c in CELL_KEY]
+            if b.num_rows and any(k[0] != k[-1] for k in key) or len(held) > 1 and any(held[0].column(c)[0] != b.column(c)[-1] for c in CELL_KEY):
+                t = pa.Table.from_batches(held).combine_chunks()
+                cut = cells(t)
+                for lo, hi in zip(cut, cut[1:]):
+                    yield from links_of_cell(t.slice(lo, hi - lo).combine_chunks(), percent).to_batches()
+                held = t.slice(cut[-1]).combine_chunks().to_batches()
+        if held and (t := pa.Table.from_batches(held)).num_rows:
+            yield from links_of_cell(t.combine_chunks(), percent).to_batches()
+
+    def cells(t):
+        k = np.stack([t[c].to_numpy() for c in CELL_KEY])
+        return [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist()]
+
+    sent = blocks.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(with_sets, fields)
+    return sent.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY).mapInArrow(compared, "a long, b long")
 
 
 def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -269,28 +375,31 @@ def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, shingle
     more = B.written(confirmed(blocks, hubs, shingle, percent), "links")
     if not more.isEmpty():
         roots = B.written(components(chains(roots, more)), "roots")
-    pairs = B.written(ordered(across_components(members, roots, percent)), "rest")
-    more = B.written(confirmed(blocks, pairs, shingle, percent), "links")
+    at = B.written(regions_apart(members, roots), "apart")
+    few = B.written(paired(at.filter(F.col("all") <= PAIRED_REGION), percent), "rest")
+    more = confirmed(blocks, few, shingle, percent).union(cell_links(blocks, in_cells(at.filter(F.col("all") > PAIRED_REGION)), shingle, percent))
+    more = B.written(more, "links")
     return roots if more.isEmpty() else components(chains(roots, more))
 
 
+def sets_of(table: pa.Table, ids: np.ndarray, marks: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The sets of a block's documents with these ids and set sums."""
+    t = B.from_ipc(table["blob"].to_pylist())
+    doc = t["_id"].combine_chunks().fill_null(0).to_numpy()
+    rows = np.flatnonzero(np.isin(doc, ids) & t["_id"].is_valid().to_numpy())
+    t, doc, got = t.take(pa.array(rows)), doc[rows], {}
+    for lo, hi, sh, offs in shingle_sets(t["text"], shingle):
+        full = np.flatnonzero(np.diff(offs))
+        if len(full):
+            sums = np.add.reduceat(W.mix(sh ^ W.SEEDS[0]), offs[:-1][full]).view(np.int64)
+            for i, s in zip(full.tolist(), sums.tolist()):
+                got[int(doc[lo + i]), s] = sh[offs[i] : offs[i + 1]] >> np.uint64(64 - 8 * SET_BYTES)
+    return [got[i, m] for i, m in zip(ids.tolist(), marks.tolist())]
+
+
 def confirmed(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(a, b) of the pairs whose full sets are similar enough. Sets travel from one block to the other's, once for each."""
 
-    def sets_of(table: pa.Table, ids: np.ndarray, marks: np.ndarray) -> list[np.ndarray]:
-        """The sets of the documents with these ids and set sums."""
-        t = B.from_ipc(table["blob"].to_pylist())
-        doc = t["_id"].combine_chunks().fill_null(0).to_numpy()
-        rows = np.flatnonzero(np.isin(doc, ids) & t["_id"].is_valid().to_numpy())
-        t, doc, got = t.take(pa.array(rows)), doc[rows], {}
-        for lo, hi, sh, offs in shingle_sets(t["text"], shingle):
-            full = np.flatnonzero(np.diff(offs))
-            if len(full):
-                sums = np.add.reduceat(W.mix(sh ^ W.SEEDS[0]), offs[:-1][full]).view(np.int64)
-                for i, s in zip(full.tolist(), sums.tolist()):
-                    got[int(doc[lo + i]), s] = sh[offs[i] : offs[i + 1]] >> np.uint64(64 - 8 * SET_BYTES)
-        return [got[i, m] for i, m in zip(ids.tolist(), marks.tolist())]
-
     def send(key, table, wanted):
         if not wanted.num_rows:
             return B.info([])
@@ -300,7 +409,7 @@ def confirmed(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) -
         new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (mark[order][1:] != mark[order][:-1])])
         of = np.empty(len(a), np.int64)
         of[order] = np.cumsum(new) - 1
-        sets = sets_of(table, a[order][new], mark[order][new])
+        sets = sets_of(table, a[order][new], mark[order][new], shingle)
         rows = []
         cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
         for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(home)]):
@@ -322,7 +431,7 @@ def confirmed(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) -
             new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (marks[order][1:] != marks[order][:-1])])
             of = np.empty(len(ids), np.int64)
             of[order] = np.cumsum(new) - 1
-            own, at = sets_of(table, ids[order][new], marks[order][new]), 0
+            own, at = sets_of(table, ids[order][new], marks[order][new], shingle), 0
             for (k, x), t in zip(cut, asked):
                 sets = B.from_ipc([x[k:]])["set"]
                 for slot, i, j in zip(t["slot"].to_pylist(), t["a"].to_pylist(), t["b"].to_pylist()):
