@@ -2,12 +2,13 @@
 
 Training words stream through the automaton, which keeps the length of the longest suffix that occurs in any
 item. Stretches of words that cannot hold a whole window, since two neighbours never stand side by side in an
-item, are skipped by vectorised look-ups first; that changes no result.
+item, are skipped by vectorised look-ups first; that changes no result. The driver builds an automaton of a bounded
+number of items, one at a time, and broadcasts it as arrays.
 """
 
 from __future__ import annotations
 
-import hashlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,8 @@ from providerfx.llm import blocks as B
 from providerfx.llm import words as W
 
 RANGE_BYTES = 1 << 19
-#: Most bytes of item texts in one automaton, and so in one broadcast; more items make more automata.
-AUTOMATON_BYTES = 4 << 20
+#: Most bytes of item texts in one automaton, about, or one longer item; more items make more automata. A broadcast holds some 20 times that.
+AUTOMATON_BYTES = 1 << 20
 FOUND = "n_words long, hits array<struct<start:long,end:long,from:long,to:long>>, items array<string>, rest string"
 FOUND_TYPE = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("from", pa.int64()), ("to", pa.int64())]))), ("items", pa.list_(pa.string())), ("rest", pa.string())])
 
@@ -41,34 +42,17 @@ def without(raw: bytes, hits: list[dict]) -> str:
     return b" ".join(x for x in [*kept, raw[at:].lstrip()] if x).decode()
 
 
-class Automaton:
-    """Generalised suffix automaton over sequences of word numbers, with the items of each window."""
+class Builder:
+    """Generalised suffix automaton over sequences of word numbers, while it grows."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.window, self.vocabulary = window, {}
-        self.next, self.link, self.len = [{}], [-1], [0]
-        self.items: dict[tuple[int, int], set[str]] = {}
-        sequences = [(name, [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words_of(text) if w]) for name, text in items]
-        sequences = [(name, s) for name, s in sequences if s]
-        for _, s in sequences:
-            last = 0
-            for c in s:
-                last = self.extend(last, c)
-        self.short = sorted({len(s) for _, s in sequences if len(s) < window})
-        self.need = min([window, *self.short])
-        for name, s in sequences:
-            size, state, length = min(window, len(s)), 0, 0
-            for c in s:
-                state, length = self.step(state, length, c)
-                if length >= size:
-                    self.items.setdefault((self.at(state, size), size), set()).add(name)
-        v = max(1, len(self.vocabulary))
-        pairs = np.array(sorted({a * v + b for _, s in sequences for a, b in zip(s, s[1:])}), np.int64)
-        raw = pa.array(list(self.vocabulary), pa.large_binary())
-        buf, offs = W.flat(raw)
-        h = W.span_hash(buf, offs[:-1], offs[1:]) if len(raw) else np.zeros(0, np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.numbers, self.pairs, self.v = h[order], order, pairs, v
+    def __init__(self):
+        self.next: list[dict[int, int]] = [{}]
+        self.link, self.len = [-1], [0]
+
+    def add(self, sequence: list[int]) -> None:
+        last = 0
+        for c in sequence:
+            last = self.extend(last, c)
 
     def extend(self, last: int, c: int) -> int:
         if c in self.next[last]:
@@ -97,36 +81,91 @@ class Automaton:
             p = self.link[p]
         return new
 
+
+class Automaton:
+    """A built automaton as arrays, with the items of each window."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        vocabulary: dict[bytes, int] = {}
+        sequences = [(name, [vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text) if w]) for name, text in items]
+        sequences = [(name, s) for name, s in sequences if s]
+        built = Builder()
+        for _, s in sequences:
+            built.add(s)
+        self.window, self.v = window, max(1, len(vocabulary))
+        self.short = sorted({len(s) for _, s in sequences if len(s) < window})
+        self.need = min([window, *self.short])
+        edges = np.array([(state * self.v + c, to) for state, own in enumerate(built.next) for c, to in own.items()], np.int64).reshape(-1, 2)
+        edges = edges[np.argsort(edges[:, 0])]
+        self.edges, self.to = edges[:, 0].copy(), edges[:, 1].astype(np.int32)
+        self.link, self.len = np.array(built.link, np.int32), np.array(built.len, np.int32)
+        del built
+        self.ready()
+        # items of the windows, by (state, size)
+        found, self.names = set(), sorted({name for name, _ in sequences})
+        number = {name: i for i, name in enumerate(self.names)}
+        for name, s in sequences:
+            size, state, length = min(window, len(s)), 0, 0
+            for c in s:
+                state, length = self.step(state, length, c)
+                if length >= size:
+                    found.add((self.at(state, size) * (window + 1) + size, number[name]))
+        pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.windows, self.owners = pairs[:, 0].copy(), pairs[:, 1].astype(np.int32)
+        self.pairs = np.array(sorted({a * self.v + b for _, s in sequences for a, b in zip(s, s[1:])}), np.int64)
+        raw = pa.array(list(vocabulary), pa.large_binary())
+        buf, offs = W.flat(raw)
+        h = W.span_hash(buf, offs[:-1], offs[1:]) if len(raw) else np.zeros(0, np.uint64)
+        order = np.argsort(h)
+        self.hashes, self.numbers = h[order], order
+
+    def ready(self) -> None:
+        """Views that give numbers to single look-ups."""
+        self._edges, self._to, self._link, self._len = (memoryview(x) for x in (self.edges, self.to, self.link, self.len))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.ready()
+
     def step(self, state: int, length: int, c: int) -> tuple[int, int]:
         """The state and the length of the longest matching suffix after one more word."""
-        while c not in self.next[state]:
-            state = self.link[state]
+        while True:
+            i = bisect_left(self._edges, state * self.v + c)
+            if i < len(self._edges) and self._edges[i] == state * self.v + c:
+                return self._to[i], length + 1
+            state = self._link[state]
             if state < 0:
                 return 0, 0
-            length = self.len[state]
-        return self.next[state][c], length + 1
+            length = self._len[state]
 
     def at(self, state: int, size: int) -> int:
         """The state of the suffix of `size` words of what `state` matches."""
-        while self.len[self.link[state]] >= size:
-            state = self.link[state]
+        while self._len[self._link[state]] >= size:
+            state = self._link[state]
         return state
 
     def scan(self, numbers: list[int]) -> tuple[list[tuple[int, int]], set[str]]:
         """Maximal stretches [a, z) of words inside windows, and the items of these windows."""
         state = length = 0
         stretches: list[list[int]] = []
-        found: set[str] = set()
+        found: set[int] = set()
         for i, c in enumerate(numbers):
             state, length = self.step(state, length, c)
             for size in (*self.short, self.window):
-                if length >= size and (who := self.items.get((self.at(state, size), size))):
-                    found |= who
+                if length >= size:
+                    key = self.at(state, size) * (self.window + 1) + size
+                    lo, hi = np.searchsorted(self.windows, (key, key + 1))
+                    if lo == hi:
+                        continue
+                    found.update(self.owners[lo:hi].tolist())
                     a = i + 1 - size
                     while stretches and stretches[-1][1] >= a:
                         a = min(a, stretches.pop()[0])
                     stretches.append([a, i + 1])
-        return [(a, z) for a, z in stretches], found
+        return [(a, z) for a, z in stretches], {self.names[k] for k in found}
 
     def search(self, col) -> pa.Array:
         """FOUND_TYPE of each text: words, stretches (in words and in bytes), items, and the text without the stretches, if any."""
@@ -162,54 +201,67 @@ class Automaton:
         return pa.StructArray.from_arrays([pa.array(total), pa.array([hits.get(i, []) for i in range(n)], FOUND_TYPE[1].type), pa.array([sorted(names.get(i, ())) for i in range(n)], FOUND_TYPE[2].type), pa.array(rest, pa.string())], fields=list(FOUND_TYPE))
 
 
-_BUILT: dict[tuple[str, int], Automaton] = {}
-
-
-def automaton(items: list[tuple[str, bytes]], window: int, key: str) -> Automaton:
-    """One automaton of this process at a time for each key; it is built from the broadcast items, not shipped."""
-    if (key, window) not in _BUILT:
-        if len(_BUILT) > 3:
-            _BUILT.clear()
-        _BUILT[key, window] = Automaton(items, window)
-    return _BUILT[key, window]
-
-
-def item_groups(items: DataFrame, id_col: str, text: str) -> list[list[tuple[str, bytes]]]:
-    """Items in groups of at most AUTOMATON_BYTES (or one larger item), read one group at a time."""
+def item_rows(items: DataFrame, id_col: str, text: str) -> tuple[DataFrame, int]:
+    """(item, text, part) of the items with an id, and in how many groups of about AUTOMATON_BYTES they are."""
     rows = items.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).filter("item is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    n = max(1, -(-2 * size // AUTOMATON_BYTES)) if size > AUTOMATON_BYTES else 1
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-    return [sorted((r["item"], r["text"].encode()) for r in rows.filter(part == k).collect()) for k in range(n)]
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).head()[0]
+    n = -(-2 * size // AUTOMATON_BYTES) if size > AUTOMATON_BYTES else 1
+    return rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
 
 
-def found_udf(items: list[tuple[str, bytes]], window: int):
-    key = hashlib.blake2b(repr(items).encode()).hexdigest()
+def found_udf(spark, items: list[tuple[str, bytes]], window: int):
+    built = spark.sparkContext.broadcast(Automaton(items, window))
 
     @F.arrow_udf(FOUND)
     def found(text: pa.Array) -> pa.Array:
-        return automaton(items, window, key).search(text)
+        return built.value.search(text)
 
     # else a filter on the result would have the texts searched twice, by more workers
     return found.asNondeterministic()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def matches(df: DataFrame, items: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "found") -> DataFrame:
-    """df with the struct `into`: n_words, hits (maximal stretches inside windows, in words and in bytes) and items.
+    """df with the struct `into`: n_words, hits (maximal stretches inside windows, in words and in bytes), items and rest.
 
-    A null text has no words; an empty benchmark hits nothing; items that share an id count as one; an item with
-    a null id or without words is left out. Other columns of df and repeated rows stay as they are. Beyond
-    AUTOMATON_BYTES of items, documents stream through one automaton after another, with a table between them.
+    rest: the text without the stretches, each of them a space, or null without hits. A null text has no words; an
+    empty benchmark hits nothing; items that share an id count as one; an item with a null id or without words is left
+    out. A column named `into` is replaced; other columns of df and repeated rows stay as they are. Beyond
+    AUTOMATON_BYTES of items, documents stream through one automaton after another, with a table between them; the
+    driver holds the items of one automaton at a time.
     """
-    B.small_batches(df.sparkSession)
+    spark = df.sparkSession
+    B.small_batches(spark)
+    rows, n = item_rows(items, item_id, item_text)
     col = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    groups = item_groups(items, item_id, item_text)
-    out = df.withColumn(into, found_udf(groups[0], window)(col))
-    for k, group in enumerate(groups[1:]):
-        out = B.written(out, f"found{k}").withColumn("_more", found_udf(group, window)(col))
-        hits, names = F.concat(f"{into}.hits", "_more.hits"), F.array_union(f"{into}.items", "_more.items")
-        out = out.withColumn(into, F.struct(F.col(f"{into}.n_words").alias("n_words"), merged(F.array_sort(hits)).alias("hits"), names.alias("items"), F.lit(None).cast("string").alias("rest"))).drop("_more")
-    return out
+    more, out = free_name(df, "_more"), df
+    for k in range(n):
+        group = sorted((r["item"], r["text"].encode()) for r in rows.filter(F.col("part") == k).collect())
+        found = found_udf(spark, group, window)
+        if not k:
+            out = df.withColumn(into, found(col))
+            continue
+        out = B.written(out, "found").withColumn(more, found(col))
+        hits, names = F.concat(f"{into}.hits", f"{more}.hits"), F.array_union(f"{into}.items", f"{more}.items")
+        out = out.withColumn(into, F.struct(F.col(f"{into}.n_words").alias("n_words"), merged(hits).alias("hits"), names.alias("items"), F.lit(None).cast("string").alias("rest"))).drop(more)
+    return with_rest(out, text, into) if n > 1 else out
+
+
+def with_rest(df: DataFrame, text: str, into: str) -> DataFrame:
+    """df with the text without the merged stretches as `into`.rest."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array([without(t.as_py().encode(), h) if h else None for t, h in zip(texts, hits.to_pylist())], pa.string())
+
+    return df.withColumn(into, F.col(into).withField("rest", cut(F.coalesce(F.col(f"`{text}`"), F.lit("")), f"{into}.hits")))
 
 
 def merged(hits):
@@ -231,15 +283,10 @@ def decontaminate(df: DataFrame, items: DataFrame, window: int = 10, max_coverag
     """df without contaminated spans: documents with more than max_coverage of their words hit go whole.
 
     From the others all stretches of hit words are cut out, with one space in their place; the rest of the text is
-    unchanged. Null texts stay null, untouched rows stay equal.
+    unchanged. Null texts stay null, untouched rows and all other columns stay as they are. Further arguments are
+    those of matches().
     """
-    m = matches(df, items, window, text, into="_found", **kw).withColumn("_hit", n_hit("_found"))
-    keep = m.filter((F.col("_hit") == 0) | (F.col("_hit") <= F.lit(max_coverage) * F.col("_found.n_words")))
-
-    @F.arrow_udf("string")
-    def cut(texts: pa.Array, hits: pa.Array) -> pa.Array:
-        return pa.array([without(t.as_py().encode(), h) for t, h in zip(texts, hits.to_pylist())], pa.string())
-
-    several = len(item_groups(items, kw.get("item_id", "item_id"), kw.get("item_text", "text"))) > 1
-    rest = cut(F.coalesce(F.col(f"`{text}`"), F.lit("")), "_found.hits") if several else F.col("_found.rest")
-    return keep.withColumn(text, F.when(F.col("_hit") == 0, F.col(f"`{text}`")).otherwise(rest)).drop("_found", "_hit")
+    found = free_name(df, "_found")
+    m, hit = matches(df, items, window, text, into=found, **kw), n_hit(found)
+    keep = m.filter((hit == 0) | (hit <= F.lit(max_coverage) * F.col(f"{found}.n_words")))
+    return keep.withColumn(text, F.when(F.size(f"{found}.hits") == 0, F.col(f"`{text}`")).otherwise(F.col(f"{found}.rest"))).drop(found)

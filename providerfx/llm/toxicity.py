@@ -19,8 +19,6 @@ BITS = 20
 RANGE_BYTES = 1 << 20
 #: Most labelled rows that training reads.
 MAX_LABELS = 10_000
-#: Training leaves out features of fewer rows.
-LEAST_ROWS = 3
 KINDS = (np.uint64(0x9FB21C651E98DF25), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -55,11 +53,6 @@ def feature_lists(col) -> list[bytes]:
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.01, epochs: int = 10) -> tuple[np.ndarray, float]:
     """Weights and bias by FTRL-proximal over rows of distinct features of value 1."""
     z, n, w = np.zeros(1 << BITS), np.zeros(1 << BITS), np.zeros(1 << BITS)
-    # a feature of one or two rows hardly passes the L1 threshold; leaving these out saves most of the time
-    seen = np.zeros(1 << BITS, np.int32)
-    for r in rows:
-        seen[r] += 1  # a row's features are distinct
-    rows = [r[seen[r] >= LEAST_ROWS].astype(np.int32) for r in rows]
     bz = bn = bias = 0.0
     for epoch in range(epochs):
         for k in np.random.default_rng(epoch).permutation(len(rows)).tolist():
@@ -79,11 +72,13 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 2.0, beta: f
 def train(labelled: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray, np.ndarray, float]:
     """Indices and values of the non-zero weights, and the bias, from rows (key, text, label 0 or 1).
 
-    Rows whose label is null are left out; without any row all weights are 0.
+    Rows whose label is null are left out; without any row all weights are 0. Texts become lists of features where
+    they are; the one task that trains gets at most max_labels of these, each of at most 2**BITS features.
     """
+
     def listed(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(feature_lists(b.column("text")), pa.binary())], names=["label", "feats"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("label"), pa.array(feature_lists(b.column("text")), pa.binary())], names=["key", "label", "feats"])
 
     def fitted(table):
         rows = [np.frombuffer(x.as_buffer(), "<u4") for chunk in table["feats"].chunks for x in chunk]
@@ -91,9 +86,9 @@ def train(labelled: DataFrame, max_labels: int = MAX_LABELS) -> tuple[np.ndarray
         i = np.flatnonzero(w)
         return pa.table({"idx": pa.array([i.astype("<u4").tobytes()], pa.binary()), "val": pa.array([w[i].tobytes()], pa.binary()), "bias": [bias]})
 
-    order = F.xxhash64("key", "text")
-    some = labelled.filter("label is not null").orderBy(order, "key").limit(max_labels).select(F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
-    got = some.mapInArrow(listed, "label int, feats binary").groupBy().applyInArrow(fitted, "idx binary, val binary, bias double").collect()
+    known = labelled.filter("label is not null").select(F.col("key").cast("string"), F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
+    some = known.mapInArrow(listed, "key string, label int, feats binary").orderBy(F.xxhash64("key", "feats"), "key", "feats", "label").limit(max_labels)
+    got = some.groupBy().applyInArrow(fitted, "idx binary, val binary, bias double").collect()
     if not got:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
     return np.frombuffer(got[0]["idx"], "<u4").astype(np.int64), np.frombuffer(got[0]["val"]), got[0]["bias"]
@@ -125,8 +120,7 @@ def toxicity(df: DataFrame, labels: DataFrame, held_out=None, text: str = "text"
 
     held_out: a condition on the id whose rows never train. Null and empty texts get the bias's score. A label row
     of an unknown id has no effect; an id with several labels trains with each. Training takes at most max_labels
-    labels, those of the smallest hashes of their ids, and leaves out features of fewer than LEAST_ROWS of its rows. Repeated rows and other columns
-    stay as they are; a column named score is replaced.
+    labels, those of the smallest hashes of their ids. Repeated rows and other columns stay as they are; a column named score is replaced.
     """
     B.small_batches(df.sparkSession)
     marks = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").alias("label")).filter("label is not null")
