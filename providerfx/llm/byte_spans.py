@@ -22,15 +22,16 @@ from providerfx.llm.suffix_array import permuted_prefixes, suffix_array
 
 RANGE_BYTES = 1 << 18
 #: Bytes of distinct segments in one suffix array; segments of one key stay together.
-ARRAY_BYTES = 1 << 19
+ARRAY_BYTES = 1 << 20
 #: Most strings of a segment: longer runs (of one character, say) become several, mostly equal ones.
 RUN = 64
 #: A gram chosen at more places is dealt by hot_keys.
 HOT = 2000
 LAST = np.iinfo(np.int64).max
 GRAMS = "part int, gram long, n long"
-SEGMENTS = "part int, seg int, gram long, low long, high long, bytes binary"
-FOUND = "part int, seg int, off int, run int, small long"
+SEGMENTS = "part int, gram long, bytes binary, starts binary, docs binary"
+SEGMENT_TYPE = pa.schema([("part", pa.int32()), ("gram", pa.int64()), *((c, pa.binary()) for c in ("bytes", "starts", "docs"))])
+FOUND = "part int, starts binary, runs binary"
 
 
 class Segments:
@@ -179,28 +180,22 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
         grams, times = Segments(table, size).grams()
         return pa.table({"part": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "gram": grams.view(np.int64), "n": times})
 
-    def marked(table: pa.Table, grams: pa.Table) -> Segments:
+    def segments_of(key, table, grams):
+        if not table.num_rows or not grams.num_rows:
+            return SEGMENT_TYPE.empty_table()
         x, g = Segments(table, size), grams["gram"].to_numpy().view(np.uint64)
         x.segments(np.sort(g), np.sort(g[grams["hot"].to_numpy()]))
-        return x
-
-    def segments_of(key, table, grams):
-        x = marked(table, grams) if table.num_rows and grams.num_rows else None
-        if x is None or not len(x.first):
-            return pa.Table.from_pylist([], SEGMENT_TYPE)
         s, k = x.starts[x.first], x.lens[x.first]
-        offs = np.concatenate([[0], np.cumsum(k)])
-        raw = pa.Array.from_buffers(pa.large_binary(), len(k), [None, pa.py_buffer(offs), pa.py_buffer(x.buf[W.gathered(s, k)])])
-        many = np.arange(len(k), dtype=np.int32)
-        cols = [np.full(len(k), key[0].as_py(), np.int32), many, x.keys[x.first].view(np.int64), np.minimum.reduceat(x.doc, x.first), np.maximum.reduceat(x.doc, x.first)]
-        return pa.table([*(pa.array(c) for c in cols), raw.cast(pa.binary())], schema=SEGMENT_TYPE)
+        each = np.append(x.first, len(x.starts))
+        cols = [binaries(x.buf[W.gathered(s, k)], np.concatenate([[0], np.cumsum(k)])), binaries(x.starts, 8 * each), binaries(x.doc, 8 * each)]
+        return pa.table([pa.array(np.full(len(k), key[0].as_py(), np.int32)), pa.array(x.keys[x.first].view(np.int64)), *cols], schema=SEGMENT_TYPE)
 
     def compared(batches):
         """Runs of strings that also start in a smaller document, from segments that come in order of their keys."""
         held, total = [], 0
         for b in batches:
             held, total = [*held, b], total + b.nbytes
-            if total >= ARRAY_BYTES * 8:
+            if total >= ARRAY_BYTES * 4:
                 t = pa.Table.from_batches(held).combine_chunks()
                 key = t["gram"].to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
@@ -209,18 +204,14 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
                 total = t.slice(cut).nbytes if cut else 0
         yield from answers(pa.Table.from_batches(held, SEGMENT_TYPE).combine_chunks(), size)
 
-    def remove(key, table, grams, found):
-        x = marked(table, grams)
+
+    def remove(key, table, found):
+        x = Segments(table, size)
         d = np.zeros(int(x.offs[-1]) + 1, np.int32)
-        edge = np.append(x.first, len(x.starts))
-        g, off, run, small = (found[c].to_numpy().astype(np.int64) for c in ("seg", "off", "run", "small"))
-        count = edge[g + 1] - edge[g]
-        occ, own = W.gathered(edge[g], count), np.repeat(np.arange(len(g)), count)
-        use = x.doc[occ] > small[own]
-        occ, own = occ[use], own[use]
-        a = x.starts[occ] + off[own]
-        np.add.at(d, a, 1)
-        np.add.at(d, a + run[own] + size - 1, -1)
+        for starts, runs in zip(found["starts"].to_pylist(), found["runs"].to_pylist()):
+            a = np.frombuffer(starts, np.int64)
+            np.add.at(d, a, 1)
+            np.add.at(d, a + np.frombuffer(runs, np.int64) + size - 1, -1)
         gone = np.cumsum(d[:-1]) > 0
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
@@ -238,30 +229,32 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
         return out
 
     counted = blocks.groupBy("part").applyInArrow(grams_of, GRAMS).withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
-    grams = B.written(counted.filter("total > 1").select("part", "gram", (F.col("total") > HOT).alias("hot")), "grams")
+    grams = counted.filter("total > 1").select("part", "gram", (F.col("total") > HOT).alias("hot"))
     segments = blocks.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(segments_of, SEGMENTS)
     found = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(compared, FOUND)
-    both = grams.select("part", F.struct("gram", "hot").alias("g"), F.lit(None).cast(FOUND_STRUCT).alias("f")).union(found.select("part", F.lit(None).cast("struct<gram:long,hot:boolean>"), F.struct("seg", "off", "run", "small")))
+    out = blocks.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(remove, schema)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), "n_bytes", "n_removed", "n_spans", F.col("kept").alias(last))
 
-    def removed(key, table, info):
-        g, f = info["g"].combine_chunks(), info["f"].combine_chunks()
-        return remove(key, table, pa.Table.from_struct_array(g.filter(g.is_valid())), pa.Table.from_struct_array(f.filter(f.is_valid())))
 
-    out = blocks.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(removed, schema)
-    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), "n_bytes", "n_removed", "n_spans", F.col("kept").alias(last))
+def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binary values that lie one after another in an array, from their byte offsets."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-SEGMENT_TYPE = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("gram", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("bytes", pa.binary())])
-FOUND_STRUCT = "struct<seg:int,off:int,run:int,small:long>"
+def longs(col) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows of a binary column, and how many each row has."""
+    buf, offs = W.flat(col)
+    return buf[: offs[-1]].view(np.int64), np.diff(offs) // 8
 
 
 def answers(t: pa.Table, size: int):
-    """FOUND rows for segments with whole keys: runs of strings whose smallest document is below the segment's largest."""
+    """FOUND rows for segments with whole keys: where, in each block, runs of strings start that also start in a smaller document."""
     if not t.num_rows:
         return
     buf, offs = W.flat(t["bytes"])
-    lens, keys = np.diff(offs), t["gram"].to_numpy().view(np.uint64)
-    low, high, part, seg_of = (t[c].to_numpy() for c in ("low", "high", "part", "seg"))
+    lens, keys, part = np.diff(offs), t["gram"].to_numpy().view(np.uint64), t["part"].to_numpy()
+    (start, many), (doc, _) = longs(t["starts"]), longs(t["docs"])
+    low = np.minimum.reduceat(doc, np.cumsum(many) - many)
     order, group, first = grouped(buf, offs[:-1], lens, keys)
     rep = order[first]
     seg, off, run, small = least_per_string(buf, offs[:-1][rep], lens[rep], keys[rep], np.minimum.reduceat(low[order], first), size)
@@ -270,8 +263,14 @@ def answers(t: pa.Table, size: int):
     edge = np.searchsorted(seg[by], np.arange(len(first) + 1))
     g = np.empty(len(order), np.int64)
     g[order] = group
+    g = g.repeat(many)  # of each occurrence
     count = edge[g + 1] - edge[g]
     i, own = W.gathered(edge[g], count), np.repeat(np.arange(len(g)), count)
-    use = small[i] < high[own]
+    use = small[i] < doc[own]
     i, own = i[use], own[use]
-    yield from pa.table({"part": part[own], "seg": seg_of[own], "off": off[i].astype(np.int32), "run": run[i].astype(np.int32), "small": small[i]}).to_batches(max_chunksize=1 << 16)
+    p = part.repeat(many)[own]
+    by = np.argsort(p, kind="stable")
+    i, own, p = i[by], own[by], p[by]
+    cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+    each = 8 * np.append(cut, len(p))
+    yield from pa.table({"part": p[cut], "starts": binaries(start[own] + off[i], each), "runs": binaries(run[i], each)}).to_batches()

@@ -1,9 +1,10 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, in numpy.
 
 Suffixes are classified by whether they are smaller than the next one. The substrings between leftmost-smaller places
-are sorted by a first induction and named; if names repeat, the string of names is sorted the same way, recursively;
-a second induction then sorts all suffixes. An induction is one scan over the array in each direction. It takes as
-many entries at a time as are final, that is, up to the first place that they themselves fill, for any alphabet.
+are sorted, several characters at a time, and named; if names repeat, the string of names is sorted the same way,
+recursively. All suffixes are then induced from the leftmost-smaller ones, by one scan over the array in each direction.
+A scan takes as many entries at a time as are final, that is, up to the first place that they themselves fill, for any
+alphabet.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import numpy as np
 from providerfx.llm.words import load
 
 #: Entries that a scan tries to take at a time, at least and at first.
-STEP = 256
+STEP = 64
 
 
 def classify(t: np.ndarray) -> np.ndarray:
@@ -26,64 +27,85 @@ def classify(t: np.ndarray) -> np.ndarray:
     return up
 
 
-def ranks(values: np.ndarray) -> np.ndarray:
-    """How many equal values stand before each."""
-    order = np.argsort(values, kind="stable")
-    v = values[order]
-    first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
-    out = np.empty(len(v), np.int64)
-    out[order] = np.arange(len(v)) - np.repeat(first, np.diff(np.append(first, len(v))))
-    return out
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal neighbours."""
+    new = np.empty(len(values) + 1, bool)
+    new[0] = new[-1] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:-1])
+    edge = new.nonzero()[0]
+    return edge[:-1], edge[1:] - edge[:-1]
 
 
-def scan(sa: np.ndarray, t: np.ndarray, up: np.ndarray, edge: np.ndarray, smaller: bool) -> None:
-    """Fill in the predecessors that are larger (left to right) or smaller (right to left) than the entries of sa; edge: the next place of each character."""
-    n, at, step, way = len(sa), 0, STEP, -1 if smaller else 1
-    view = sa[::way]  # the scan always goes up; places count from its start
-    place = (lambda c: n - 1 - edge[c]) if smaller else (lambda c: edge[c])
+def scan(sa: np.ndarray, t: np.ndarray, kind: np.ndarray, place: np.ndarray) -> None:
+    """Fill in the predecessors of the entries of sa that are of this kind, from its start on; place: the next place of each character."""
+    n, at, step = len(sa), 0, STEP
     while at < n:
         z = min(n, at + step)
-        own = np.flatnonzero(view[at:z] > 0)
-        prev = view[at:z][own] - 1
-        use = up[prev] == smaller
-        prev, own = prev[use], own[use]
+        cur = sa[at:z]
+        prev = cur - 1
+        own = ((cur > 0) & kind[prev]).nonzero()[0]
+        if not len(own):
+            at, step = z, 2 * step
+            continue
+        prev = prev[own]
         c = t[prev]
-        to = place(c) + ranks(c)
-        end = int(to.min(initial=z))
-        if end < z:  # entries from there on are not final yet
-            keep = own < end - at
-            prev, c, to = prev[keep], c[keep], to[keep]
-        view[to] = prev
-        np.add.at(edge, c, way)
+        order = c.argsort(kind="stable")
+        c = c[order]
+        first, size = runs(c)
+        to = place[c[first]]
+        end = min(z, int(to.min()))
+        if end < z:  # entries from there on are not final yet; of each character the first ones are kept
+            keep = (own[order] < end - at).nonzero()[0]
+            order, c = order[keep], c[keep]
+            first, size = runs(c)
+            to = place[c[first]]
+        sa[(to - first).repeat(size) + np.arange(len(c))] = prev[order]
+        place[c[first]] = to + size
         step = max(STEP, 2 * (end - at)) if end < z else 2 * step
-        at = min(end, z)
+        at = end
 
 
 def induced(t: np.ndarray, up: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """All suffixes in order, induced from the leftmost-smaller ones (`lms`) in their order."""
-    count = np.bincount(t, minlength=size)
+    n, count = len(t), np.bincount(t, minlength=size)
     ends = np.cumsum(count)
-    sa = np.full(len(t), -1, np.int64)
+    sa = np.full(n, -1, np.int32)
     c = t[lms]
-    sa[ends[c] - np.bincount(c, minlength=size)[c] + ranks(c)] = lms
-    scan(sa, t, up, ends - count, False)
+    order = c.argsort(kind="stable")
+    first, many = runs(c[order])
+    sa[(ends[c[order][first]] - many - first).repeat(many) + np.arange(len(c))] = lms[order]
+    scan(sa, t, ~up, ends - count)
     sa[(sa >= 0) & up[sa]] = -1
-    scan(sa, t, up, ends - 1, True)
-    sa[0] = len(t) - 1
+    scan(sa[::-1], t, up, n - ends)
+    sa[0] = n - 1
     return sa
 
 
-def names_of(t: np.ndarray, by: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Number of each substring from by[i] up to and with end[by[i]]; equal neighbours share one."""
-    size = end[by] - by
-    equal = size[1:] == size[:-1]
-    at, k = np.flatnonzero(equal), 0
-    while at.size:
-        differ = t[by[at] + k] != t[by[at + 1] + k]
-        equal[at[differ]] = False
-        at = at[~differ]
-        at, k = at[size[at] > k], k + 1
-    return np.concatenate([[0], np.cumsum(~equal)])
+def names_of(t: np.ndarray, up: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
+    """How many of the substrings from one leftmost-smaller place up to and with the next are smaller than each.
+
+    Characters are compared with their class; then no substring is the beginning of another one.
+    """
+    symbol = 2 * t.astype(np.int64) + up + 1
+    bits = int(2 * size + 1).bit_length()
+    step = 63 // bits
+    left = np.append(np.diff(lms) + 1, 1)
+    rank, active, k = np.zeros(len(lms), np.int64), np.arange(len(lms)), 0
+    while len(active):
+        word = np.zeros(len(active), np.int64)
+        for j in range(k, k + step):
+            at = lms[active] + j
+            word = (word << bits) | np.where(left[active] > j, symbol[np.minimum(at, len(t) - 1)], 0)
+        order = word.argsort(kind="stable") if not k else np.lexsort((word, rank[active]))
+        word, active = word[order], active[order]
+        old = rank[active]
+        group, many = runs(old)
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (old[1:] != old[:-1])]).nonzero()[0]
+        same = np.diff(np.append(new, len(active)))
+        rank[active] = old + new.repeat(same) - group.repeat(many)
+        k += step
+        active = active[(same > 1).repeat(same) & (left[active] > k)]
+    return rank
 
 
 def ordered(t: np.ndarray, size: int) -> np.ndarray:
@@ -93,18 +115,10 @@ def ordered(t: np.ndarray, size: int) -> np.ndarray:
     t = t.astype(np.int16 if size <= 1 << 15 else np.int32)  # short characters are sorted by radix
     up = classify(t)
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    is_lms = np.zeros(len(t), bool)
-    is_lms[lms] = True
-    by = induced(t, up, lms, size)
-    by = by[is_lms[by]]
-    end = np.empty(len(t), np.int64)
-    end[lms] = np.append(lms[1:], len(t) - 1)
-    found = names_of(t, by, end)
-    if found[-1] < len(lms) - 1:
-        names = np.empty(len(t), np.int64)
-        names[by] = found
-        by = lms[ordered(names[lms], int(found[-1]) + 1)]
-    return induced(t, up, by, size)
+    rank = names_of(t, up, lms, size)
+    found, name = np.unique(rank, return_inverse=True)
+    by = rank.argsort() if len(found) == len(lms) else ordered(name, len(found))
+    return induced(t, up, lms[by], size)
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
