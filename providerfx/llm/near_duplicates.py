@@ -238,12 +238,13 @@ def linkable(percent: int):
 
 
 def with_hubs(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """Pairs of each region's class of the most links with the classes of other components."""
+    """Pairs of each region's class of the most links (a) with the classes of other components (b)."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     best = F.max(F.struct(F.coalesce("n_links", F.lit(0)).alias("n_links"), *NODE, "component")).alias("h")
     hubs = members.join(ends, "node", "left").groupBy("region").agg(best).select("region", "h.*").select("region", *side("a"))
     hubs = B.written(hubs, "hubs")
-    return ordered(members.select("region", *side("b")).join(hubs, "region").filter(linkable(percent)))
+    pairs = members.select("region", *side("b")).join(hubs, "region").filter(linkable(percent))
+    return pairs.select(*(f"{p}_{c}" for p in "ab" for c in NODE)).distinct()
 
 
 def regions_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -335,11 +336,9 @@ def cell_links(blocks: DataFrame, wanted: DataFrame, shingle: int, percent: int)
         if not asked.num_rows:
             return schema.empty_table()
         node, mark = asked["node"].to_numpy(), asked["mark"].to_numpy()
-        order = np.lexsort((mark, node))
-        new = np.concatenate([[True], (node[order][1:] != node[order][:-1]) | (mark[order][1:] != mark[order][:-1])])
-        of = np.empty(len(node), np.int64)
-        of[order] = np.cumsum(new) - 1
-        sets = pa.array([np.ascontiguousarray(x).tobytes() for x in sets_of(table, node[order][new], mark[order][new], shingle)], pa.binary())
+        own, own_mark, _ = (x.view(np.int64) for x in B.pairs_unique(node.view(np.uint64), mark.view(np.uint64)))
+        sets = pa.array([np.ascontiguousarray(x).tobytes() for x in sets_of(table, own, own_mark, shingle)], pa.binary())
+        of = place_of(node, mark, own, own_mark)
         return asked.select(WANTED).append_column("set", sets.take(pa.array(of))).cast(schema)
 
     def compared(batches):
@@ -398,57 +397,65 @@ def sets_of(table: pa.Table, ids: np.ndarray, marks: np.ndarray, shingle: int) -
 
 
 def confirmed(blocks: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose full sets are similar enough. Sets travel from one block to the other's, once for each."""
-
-    def send(key, table, wanted):
-        if not wanted.num_rows:
-            return B.info([])
-        t = wanted.sort_by([("b_home", "ascending"), ("a_node", "ascending"), ("a_mark", "ascending")]).combine_chunks()
-        a, mark, home = t["a_node"].to_numpy(), t["a_mark"].to_numpy(), t["b_home"].to_numpy()
-        order = np.lexsort((mark, a))
-        new = np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (mark[order][1:] != mark[order][:-1])])
-        of = np.empty(len(a), np.int64)
-        of[order] = np.cumsum(new) - 1
-        sets = sets_of(table, a[order][new], mark[order][new], shingle)
-        rows = []
+    """(a, b) of the pairs whose full sets are similar enough.
+
+    The set of a travels to the block of b, once for all its pairs there, so a class with very many partners is best a.
+    """
+    def send(key, table, asked):
+        t = asked.sort_by([("b_home", "ascending"), ("a_node", "ascending"), ("a_mark", "ascending")]).combine_chunks()
+        if not t.num_rows:
+            return pa.table({"part": pa.array([], pa.int32()), "sets": pa.array([], pa.binary())})
+        node, mark, home = (t[c].to_numpy() for c in ("a_node", "a_mark", "b_home"))
+        node_of, mark_of, _ = B.pairs_unique(node.view(np.uint64), mark.view(np.uint64))
+        sets = sets_of(table, node_of.view(np.int64), mark_of.view(np.int64), shingle)
+        raw = [np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for x in sets]
+        at = place_of(node, mark, node_of.view(np.int64), mark_of.view(np.int64))
         cut = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1]]))
-        for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(home)]):
-            own, slot = np.unique(of[lo:hi], return_inverse=True)
-            raw = [np.ascontiguousarray(sets[i]).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES].tobytes() for i in own]
-            p = B.to_ipc(pa.table({"slot": slot, "a": a[lo:hi], "b": t["b_node"][lo:hi], "mark": t["b_mark"][lo:hi]}))
-            s = B.to_ipc(pa.table({"set": pa.array(raw, pa.large_binary())}))
-            rows.append((int(home[lo]), len(p), key[0].as_py(), p + s))
-        return B.info(rows)
-
-    def compare(key, table, sent):
-        a, b = [], []
-        if sent.num_rows:
-            cut = list(zip(sent["kind"].to_pylist(), sent["blob"].to_pylist()))
-            asked = [B.from_ipc([x[:k]]) for k, x in cut]
-            ids = np.concatenate([t["b"].to_numpy() for t in asked])
-            marks = np.concatenate([t["mark"].to_numpy() for t in asked])
-            order = np.lexsort((marks, ids))
-            new = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (marks[order][1:] != marks[order][:-1])])
-            of = np.empty(len(ids), np.int64)
-            of[order] = np.cumsum(new) - 1
-            own, at = sets_of(table, ids[order][new], marks[order][new], shingle), 0
-            for (k, x), t in zip(cut, asked):
-                sets = B.from_ipc([x[k:]])["set"]
-                for slot, i, j in zip(t["slot"].to_pylist(), t["a"].to_pylist(), t["b"].to_pylist()):
-                    raw = np.frombuffer(sets[slot].as_buffer(), np.uint8).reshape(-1, SET_BYTES)
-                    other = np.zeros((len(raw), 8), np.uint8)
-                    other[:, :SET_BYTES] = raw
-                    mine = own[of[at]]
-                    both = int(B.member(other.view(np.uint64).ravel(), mine).sum())
-                    at += 1
-                    if 100 * both >= percent * (len(mine) + len(raw) - both):
-                        a.append(i)
-                        b.append(j)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    wanted = pairs.withColumn("part", F.col("a_home").cast("int")).select("part", "a_node", "a_mark", "b_node", "b_mark", "b_home")
-    sent = blocks.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(send, B.INFO)
-    return blocks.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(compare, "a long, b long")
+        rows = [B.to_ipc(pa.table({"node": node[lo:hi], "mark": mark[lo:hi], "set": pa.array([raw[i] for i in at[lo:hi].tolist()], pa.large_binary())})) for lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(home)])]
+        return pa.table({"part": pa.array(home[cut].astype(np.int32)), "sets": pa.array(rows, pa.binary())})
+
+    def compare(key, table, both):
+        sent = B.from_ipc([x for x in both["sets"].to_pylist() if x is not None] or [B.to_ipc(NO_SETS)])
+        p = both.filter(both["a_node"].is_valid())
+        a, a_mark, b, b_mark = (p[c].to_numpy() for c in ("a_node", "a_mark", "b_node", "b_mark"))
+        at = np.lexsort((sent["mark"].to_numpy(), sent["node"].to_numpy()))
+        of = at[place_of(a, a_mark, sent["node"].to_numpy()[at], sent["mark"].to_numpy()[at])]
+        node_of, mark_of, _ = B.pairs_unique(b.view(np.uint64), b_mark.view(np.uint64))
+        own = sets_of(table, node_of.view(np.int64), mark_of.view(np.int64), shingle)
+        sets, linked, last, other = sent["set"], [], None, None
+        order = np.argsort(of, kind="stable")
+        mine_of = place_of(b, b_mark, node_of.view(np.int64), mark_of.view(np.int64))
+        for k in order.tolist():
+            if of[k] != last:
+                last, raw = of[k], np.frombuffer(sets[int(of[k])].as_buffer(), np.uint8).reshape(-1, SET_BYTES)
+                other = np.zeros((len(raw), 8), np.uint8)
+                other[:, :SET_BYTES] = raw
+                other = other.view(np.uint64).ravel()
+            mine = own[mine_of[k]]
+            common = int(B.member(other, mine).sum())
+            if 100 * common >= percent * (len(mine) + len(other) - common):
+                linked.append(k)
+        return pa.table({"a": a[linked], "b": b[linked]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    asked = pairs.select(F.col("a_home").cast("int").alias("part"), "a_node", "a_mark", "b_home").distinct()
+    sent = blocks.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(send, "part int, sets binary")
+    none = F.lit(None).cast("long")
+    pairs = pairs.select(F.col("b_home").cast("int").alias("part"), F.lit(None).cast("binary").alias("sets"), "a_node", "a_mark", "b_node", "b_mark")
+    both = sent.select("part", "sets", *(none.alias(c) for c in ("a_node", "a_mark", "b_node", "b_mark"))).union(pairs)
+    return blocks.groupBy("part").cogroup(both.groupBy("part")).applyInArrow(compare, "a long, b long")
+
+
+NO_SETS = pa.table({"node": pa.array([], pa.int64()), "mark": pa.array([], pa.int64()), "set": pa.array([], pa.large_binary())})
+
+
+def place_of(a: np.ndarray, b: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Where each pair (a, b) is among the distinct pairs (first, second), all of which are there."""
+    both = np.concatenate([first, a]), np.concatenate([second, b])
+    order = np.lexsort((np.arange(len(both[0])) >= len(first), both[1], both[0]))
+    new = order < len(first)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[new][np.cumsum(new) - 1]
+    return out[len(first) :]
 
 
 def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", columns: list[str] | None = None) -> DataFrame:
