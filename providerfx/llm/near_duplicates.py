@@ -224,7 +224,7 @@ def apart(placed: DataFrame, roots: DataFrame) -> DataFrame:
     """(region, tree, NODE, regions, component): the classes of each region that holds several components."""
     at = in_component(placed, roots)
     several = at.select(F.explode("regions").alias("region"), "component").groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
-    several = B.written(several, "several")  # as a table of its own, so that Spark can split a large region's rows in the joins
+    several = B.held(several)  # on its own, so that Spark can split a large region's rows in the joins
     keys = at.select("node", "mark", F.posexplode("regions").alias("tree", "region")).join(several, "region", "left_semi")
     return keys.join(at, ["node", "mark"]).select("region", "tree", *NODE, "regions", "component")
 
@@ -242,7 +242,7 @@ def with_hubs(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     best = F.max(F.struct(F.coalesce("n_links", F.lit(0)).alias("n_links"), *NODE, "component")).alias("h")
     hubs = members.join(ends, "node", "left").groupBy("region").agg(best).select("region", "h.*").select("region", *side("a"))
-    hubs = B.written(hubs, "hubs")
+    hubs = B.held(hubs)
     pairs = members.select("region", *side("b")).join(hubs, "region").filter(linkable(percent))
     return pairs.select(*(f"{p}_{c}" for p in "ab" for c in NODE)).distinct()
 
@@ -252,7 +252,7 @@ def regions_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     at = in_component(members.drop("component"), roots)
     of = at.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"))
     of = of.filter("all > m.n").select("region", "all", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("rows"), F.ceil(F.col("all") / CELL).alias("cols"))
-    return at.join(B.written(of, "regions"), "region")
+    return at.join(B.held(of), "region")
 
 
 def paired(at: DataFrame, percent: int) -> DataFrame:
@@ -367,7 +367,7 @@ def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, shingle
     """(node, root) of the components of links and of all further links between classes that share a region."""
     chains = lambda roots, more: roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
     roots = B.written(components(links), "roots")
-    members = B.written(apart(B.written(places(nodes, base_depth(percent)), "places"), roots), "members")
+    members = B.written(apart(places(nodes, base_depth(percent)), roots), "members")
     if members.isEmpty():
         return roots
     hubs = B.written(with_hubs(members, links, percent), "hubs")
