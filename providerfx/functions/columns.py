@@ -40,7 +40,7 @@ def clamp(x: Column, centre: Column, bound: float) -> Column:
 
 
 def verdict(flag: Column) -> Column:
-    return F.when(flag > 0, "worse than expected (significantly above the null)").when(flag < 0, "better than expected (significantly below the null)").when(flag == 0, "not significantly different from the null").otherwise("undetermined")
+    return F.when(flag > 0, "above the null value").when(flag < 0, "below the null value").when(flag == 0, "no clear difference").otherwise("no result")
 
 
 def provider_name(k: Column) -> Column:

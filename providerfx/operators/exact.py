@@ -1,8 +1,9 @@
 """Exact fit: Newton iterations on the Firth-penalised likelihood, one aggregation each.
 
-Records are dealt by provider once and kept; the state (one gamma per provider) joins them without moving them.
-Up to MAX_LOCAL providers the state is held on the driver and broadcast, since its size is then proven small;
-beyond, it is a table dealt like the records, and only p x p sums reach the driver.
+Up to MAX_LOCAL providers the state (one gamma per provider) is held on the driver and broadcast, since its size is then
+proven small; records stay where they are read, and only sums of each provider move, combined before they do. Beyond,
+records are dealt once by provider and salt, so a large provider is in several tasks, the state is a table dealt
+like them, and only p x p sums reach the driver.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from providerfx.operators import moments as M
 from providerfx.operators.normalise import normalise, start_value
+from providerfx.operators.ranks import exact_median
 
 #: Most providers whose state the driver holds: 16 bytes each, broadcast in every iteration.
 MAX_LOCAL = 200_000
+#: Parts of a provider's records where the state is a table.
+SALTS = 8
 STOPS = ("beta", "relch", "ratch", "all", "or")
 
 
@@ -70,8 +74,11 @@ class State:
     def moments(self, beta: np.ndarray, means: np.ndarray) -> DataFrame:
         if self.table is None:
             return M.moments(self.rows, F.lit(self.start), beta, means)
-        state = F.broadcast(self.table) if self.local else self.table
-        return M.moments(self.rows.join(state, "pid"), F.col("gamma"), beta, means)
+        if self.local:
+            rows = self.rows.join(F.broadcast(self.table), "pid")
+        else:
+            rows = self.rows.join(self.table.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS))))), ["pid", "_salt"])
+        return M.moments(rows, F.col("gamma"), beta, means)
 
     def take(self, beta: np.ndarray, means: np.ndarray) -> None:
         """One pass over the records; sets what the step needs."""
@@ -132,7 +139,7 @@ class State:
 
         kind = self.rows.schema["pid"].dataType.simpleString()
         free = found.mapInPandas(moved, f"pid {kind}, old double, free double").repartition(self.parts, "pid").checkpoint()
-        centre = free.agg(F.median("free")).head()[0] if clamp == "median" else 0.0
+        centre = exact_median(free, "free") if clamp == "median" else 0.0
         new = free.withColumn("gamma", F.least(F.greatest("free", F.lit(centre - bound)), F.lit(centre + bound)))
         move, held = new.agg(F.max(F.abs(F.col("gamma") - F.col("old"))), F.sum((F.col("gamma") != F.col("free")).cast("int"))).head()
         self.table = new.select("pid", "gamma")
@@ -145,7 +152,8 @@ def fit_exact(df: DataFrame, success: str, provider: str, trials: str | None = N
     clamp: gammas stay within `bound` of their median, or of 0 ("absolute"). stop: "beta" (largest scaled slope step;
     without covariates the largest gamma step), "relch" or "ratch" (relative change of the penalised likelihood, to
     itself or to its rise since the start), "all" (their maximum) or "or" (their minimum). damping adapts the step size
-    to the criterion. Providers without events get finite estimates; collinear covariates raise an error.
+    to the criterion. Providers without events get finite estimates; collinear covariates raise an error. The records
+    stay cached until close().
     """
     if stop not in STOPS:
         raise ValueError(f"stop must be one of {', '.join(STOPS)}")
@@ -154,19 +162,24 @@ def fit_exact(df: DataFrame, success: str, provider: str, trials: str | None = N
     rows, names = normalise(df, success, provider, trials, features, exclude, cutoff)
     spark = df.sparkSession
     parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(parts, "pid").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = (rows.repartition(num_partitions) if num_partitions else rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return _newton(rows, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, max_local)
+        if kept.select("pid").distinct().count() > max_local:
+            salted = kept.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+            first, kept = kept, salted.repartition(parts, "pid", "_salt").persist(StorageLevel.MEMORY_AND_DISK)
+            kept.count()
+            first.unpersist()
+        return _newton(kept, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, "_salt" not in kept.columns)
     except BaseException:
-        rows.unpersist()
+        kept.unpersist()
         raise
 
 
-def _newton(rows, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, max_local) -> Fit:
+def _newton(rows, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, local) -> Fit:
     p = len(names)
     got = rows.agg(F.count("*"), F.sum("y"), F.sum("n"), F.count_distinct("pid"), *[F.avg(f"z{k + 1}") for k in range(p)]).head()
     count, y, n, providers, means = got[0], got[1], got[2], got[3], np.array(got[4:], float)
-    state, beta = State(rows, p, names, start_value(rows), providers <= max_local, parts), np.zeros(p)
+    state, beta = State(rows, p, names, start_value(rows), local, parts), np.zeros(p)
     size, before, crit, change, converged, held, history, done = 1.0, None, float("inf"), float("inf"), False, 0, [], 0
     for k in range(max_iter + 1):
         state.take(beta, means)
@@ -198,3 +211,23 @@ def _newton(rows, names, tol, max_iter, bound, clamp, stop, damping, trace, part
     info = spark.createDataFrame(state.pdf).withColumn("pid", F.col("pid").cast(rows.schema["pid"].dataType)) if state.local else state.found
     gamma = info.select("pid", "gamma")
     return Fit(rows, names, dict(zip(names, beta.tolist())), gamma, info, value, -2.0 * state.ll, state.log_w + M.log_det(state.schur), done, crit, converged, count, providers, y / n, means, state.schur, history if trace else history[-1:], held)
+
+
+def likelihood_at(df: DataFrame, success: str, provider: str, gamma: DataFrame, beta, trials: str | None = None, features=None, exclude=()) -> dict[str, float]:
+    """loglik, neg2_loglik, log_det and penalised at given intercepts (pid, gamma) and slopes, without a fit; providers without a gamma are left out."""
+    rows, names = normalise(df, success, provider, trials, features, exclude)
+    rows, p = rows.join(gamma, "pid").persist(StorageLevel.MEMORY_AND_DISK), len(names)
+    try:
+        means = np.array(rows.agg(F.count("*"), *[F.avg(f"z{k + 1}") for k in range(p)]).head()[1:], float)
+        found = M.moments(rows, F.col("gamma"), np.asarray(beta, float), means)
+
+        def share(batches):
+            for b in batches:
+                t = M.Tables(b, p)
+                yield pd.DataFrame({"s": [t.schur().ravel().tolist()], "ll": [b["ll"].sum()], "w": [np.log(np.maximum(t.w0, 1e-12)).sum()]})
+
+        got = found.mapInPandas(share, "s array<double>, ll double, w double").agg(F.sum("ll"), F.sum("w"), *[F.sum(F.col("s")[k]) for k in range(p * p)]).head()
+    finally:
+        rows.unpersist()
+    det = got[1] + M.log_det(np.array(got[2:], float).reshape(p, p))
+    return {"loglik": got[0], "neg2_loglik": -2.0 * got[0], "log_det": det, "penalised": got[0] + 0.5 * det}

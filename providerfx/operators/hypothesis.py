@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from providerfx.functions.columns import chi2_p, normal_p, sigmoid, softplus, verdict, weight
 from providerfx.operators import moments as M
-from providerfx.operators.exact import Fit
+from providerfx.operators.exact import MAX_LOCAL, Fit
+from providerfx.operators.ranks import exact_median
 
 METHODS = ("wald", "score", "lrt")
 
@@ -19,7 +20,7 @@ def null_value(fit: Fit, null="median") -> float:
     if isinstance(null, str):
         if null != "median":
             raise ValueError("null must be 'median' or a number")
-        return fit.gamma.agg(F.median("gamma")).head()[0]
+        return exact_median(fit.gamma, "gamma")
     return float(null)
 
 
@@ -39,7 +40,7 @@ def test_providers(fit: Fit, method: str = "wald", null="median", alpha: float =
     keep = (lambda d: d) if providers is None else (lambda d: d.filter(F.col("pid").isin(list(providers))))
     info = keep(fit.info)
     if method != "wald":
-        x = keep(fit.rows).join(keep(fit.gamma), "pid") if fit.n_providers > 200_000 else keep(fit.rows).join(F.broadcast(keep(fit.gamma)), "pid")
+        x = keep(fit.rows).join(keep(fit.gamma), "pid") if fit.n_providers > MAX_LOCAL else keep(fit.rows).join(F.broadcast(keep(fit.gamma)), "pid")
         x = x.withColumn("_null", M.eta_column(F.lit(at), slopes)).withColumn("_full", M.eta_column(F.col("gamma"), slopes))
         x = x.withColumn("_p0", sigmoid(F.col("_null"))).withColumn("_w0", weight(F.col("n"), F.col("_p0")))
         cells = {"_res": F.col("y") - F.col("n") * F.col("_p0"), "_drop": (F.col("_null") - F.col("_full")) * F.col("y") - F.col("n") * (softplus(F.col("_null")) - softplus(F.col("_full")))}

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from providerfx.functions.columns import LEAST_WEIGHT, sigmoid
 from providerfx.operators import moments as M
 from providerfx.operators import normalise as N
-from providerfx.operators.exact import fit_exact
+from providerfx.operators.exact import fit_exact, likelihood_at
 from providerfx.operators.hypothesis import test_providers
 from providerfx.operators.one_shot import fit_one_shot
+from providerfx.operators.ranks import running_offsets
 from providerfx.plans import datasets as D
 from providerfx.plans import oracle as O
 from providerfx.tools import simulate, tools
@@ -46,7 +47,6 @@ def one(spark: SparkSession, **values) -> DataFrame:
 def at_zero(spark, sf_dir):
     """Records of the line items at beta = 0 and the start value, with prob and w."""
     rows, _ = N.normalise(D.line(spark, sf_dir), "y", "provider")
-    rows = rows.cache()
     g = N.start_value(rows)
     x = rows.withColumn("prob", sigmoid(F.lit(g)))
     return x.withColumn("w", F.greatest(F.col("n") * F.col("prob") * (1 - F.col("prob")), F.lit(LEAST_WEIGHT)))
@@ -64,6 +64,12 @@ def provider_counts(spark, sf_dir):
     return N.provider_counts(N.normalise(D.labels(spark, sf_dir), "y", "provider")[0])
 
 
+@query(f"WITH rec AS ({D.LINE}) SELECT pid, n_records, (sum(n_records) OVER (ORDER BY pid) - n_records)::BIGINT AS first FROM (SELECT pid, count(*) AS n_records FROM rec GROUP BY pid)")
+def provider_offsets(spark, sf_dir):
+    rows, _ = N.normalise(D.line(spark, sf_dir), "y", "provider")
+    return running_offsets(N.provider_counts(rows), "pid", "n_records")
+
+
 @query(f"WITH rec AS ({D.LABELS}) SELECT pid, n_records, count(*) AS n_rows FROM (SELECT pid, count(*) OVER (PARTITION BY pid) AS n_records FROM rec) WHERE n_records >= 18 GROUP BY ALL")
 def provider_cutoff(spark, sf_dir):
     return N.with_sizes(N.normalise(D.labels(spark, sf_dir), "y", "provider", cutoff=18)[0]).groupBy("pid", "n_records").agg(F.count("*").alias("n_rows"))
@@ -74,7 +80,13 @@ def start_value(spark, sf_dir):
     return one(spark, line=N.start_value(N.normalise(D.line(spark, sf_dir), "y", "provider")[0]), orders=N.start_value(N.normalise(D.orders(spark, sf_dir), "y", "provider", "n")[0]))
 
 
-@query()
+GREEDY = f"""WITH RECURSIVE rec AS ({D.LABELS}), sizes AS (SELECT pid, count(*) AS n_records, row_number() OVER (ORDER BY count(*) DESC, pid) AS k FROM rec GROUP BY pid),
+dealt(k, load, pid, n_records, block) AS (SELECT 0::BIGINT, [0, 0, 0, 0]::BIGINT[], NULL::VARCHAR, 0::BIGINT, 0 UNION ALL
+SELECT s.k, [CASE WHEN j = list_position(load, list_min(load)) THEN x + s.n_records ELSE x END FOR x, j IN load], s.pid, s.n_records, list_position(load, list_min(load)) - 1 FROM dealt d JOIN sizes s ON s.k = d.k + 1)
+SELECT pid, block, n_records FROM dealt WHERE k > 0"""
+
+
+@query(GREEDY)
 def partition_assignment(spark, sf_dir):
     rows, _ = N.normalise(D.labels(spark, sf_dir), "y", "provider")
     return N.greedy_blocks(rows, 4)[0].join(N.provider_counts(rows), "pid")
@@ -206,18 +218,62 @@ def fit_damped(spark, sf_dir):
 
 @query(f"{FIT} SELECT unnest(['beta', 'relch', 'ratch', 'all', 'or']) AS stop, {s6('b1', 'quantity')}, {s6('b2', 'discount')} FROM b")
 def fit_stop_rules(spark, sf_dir):
-    rows = [(s, *line_fit(spark, sf_dir, stop=s, tol=1e-10).slopes.tolist()) for s in ("beta", "relch", "ratch", "all", "or")]
+    rows = []
+    for rule in ("beta", "relch", "ratch", "all", "or"):
+        f = line_fit(spark, sf_dir, stop=rule, tol=1e-10)
+        rows.append((rule, *f.slopes.tolist()))
+        f.close()
     return spark.createDataFrame(rows, "stop string, quantity double, discount double").select("stop", r6(F.col("quantity"), "quantity"), r6(F.col("discount"), "discount"))
 
 
-@query()
+SOFT = "greatest(eta, 0) + ln(1 + exp(-abs(eta)))"
+
+
+def ll(k="") -> str:
+    return f"(SELECT sum(eta * y - n * ({SOFT})) FROM r{k})"
+
+
+def det(k="") -> str:
+    return f"((SELECT sum(logw) FROM a{k}) + (SELECT logdet FROM s{k}))"
+
+
+LL, DET = ll(), det()
+STEPS = 5
+TRACE = O.fit(GLOBAL, 2, STEPS) + ", trace AS (" + " UNION ALL ".join(f"SELECT {k} AS iter, {ll(i)} + 0.5 * {det(i)} AS value FROM (SELECT 1)" for k, i in enumerate([*map(str, range(STEPS)), ""])) + ")"
+
+
+@query(f"{TRACE} SELECT iter, {s6('value', 'loglik')} FROM trace")
 def fit_trace(spark, sf_dir):
-    return line_fit(spark, sf_dir, trace=True).history_table().select("iter", r6(F.col("loglik"), "loglik"))
+    """The penalised likelihood at the start and after each of STEPS iterations."""
+    f = line_fit(spark, sf_dir, trace=True, tol=0.0, max_iter=STEPS)
+    return f.history_table().select("iter", r6(F.col("loglik"), "loglik"))
 
 
-SOFT = "greatest(eta, 0) + ln(1 + exp(-abs(eta)))"
-LL = f"(SELECT sum(eta * y - n * ({SOFT})) FROM r)"
-DET = "((SELECT sum(logw) FROM a) + (SELECT logdet FROM s))"
+MOVES = ", moves AS (" + " UNION ALL ".join(f"SELECT {k + 1} AS iter, greatest(abs(d1), abs(d2)) AS step FROM d{k}" for k in range(STEPS)) + ")"
+RULES = f"""{TRACE}{MOVES}, crit AS (SELECT t.iter AS iter, step, abs((t.value - p.value) / t.value) AS relch, abs((t.value - p.value) / (t.value - f.value)) AS ratch
+FROM trace t JOIN trace p ON p.iter = t.iter - 1 JOIN moves ON moves.iter = t.iter, (SELECT value FROM trace WHERE iter = 0) f)
+SELECT stop, min(iter)::BIGINT AS iterations FROM (SELECT iter, unnest(['beta', 'relch', 'ratch', 'all', 'or']) AS stop, unnest([step, relch, ratch, greatest(step, relch, ratch), least(step, relch, ratch)]) AS x FROM crit) WHERE x <= 1e-5 GROUP BY stop"""
+
+
+@query(RULES)
+def fit_iterations(spark, sf_dir):
+    """Iterations until each stop rule holds."""
+    rows = []
+    for rule in ("beta", "relch", "ratch", "all", "or"):
+        f = line_fit(spark, sf_dir, stop=rule, tol=1e-5)
+        rows.append((rule, f.iterations))
+        f.close()
+    return spark.createDataFrame(rows, "stop string, iterations long")
+
+
+AT = ", ".join(["b0 AS MATERIALIZED (SELECT 0 AS block, 0.1::DOUBLE AS b1, -0.2::DOUBLE AS b2)", "rec AS MATERIALIZED (" + GLOBAL + ")", "g0 AS MATERIALIZED (SELECT pid, -0.5 - 0.01 * (pid % 7) AS gamma FROM rec GROUP BY pid)", *O.state(2, "g0", "b0", "")])
+
+
+@query(f"WITH {AT} SELECT {s6(LL, 'loglik')}, {s6(f'-2 * {LL}', 'neg2_loglik')}, {s6(DET, 'log_det')}, {s6(f'{LL} + 0.5 * {DET}', 'penalised')}")
+def likelihood_at_given(spark, sf_dir):
+    df = D.line(spark, sf_dir)
+    gamma = df.select(F.col("provider").alias("pid")).distinct().withColumn("gamma", -0.5 - 0.01 * (F.col("pid") % 7))
+    return one(spark, **likelihood_at(df, "y", "provider", gamma, [0.1, -0.2]))
 
 
 @query(f"{FIT} SELECT {s6(LL, 'loglik')}, {s6(f'-2 * {LL}', 'neg2_loglik')}, {s6(DET, 'logdet_info')}, {s6(f'{LL} + 0.5 * {DET}', 'loglik_penalised')}")
@@ -246,21 +302,28 @@ def gamma_extremes(spark, sf_dir):
 
 
 def tested(fit, **options):
-    return test_providers(fit, **options).select("pid", r6(F.col("gamma_est"), "gamma_est"), r6(F.col("stat"), "stat"), "flag", "verdict")
+    return test_providers(fit, **options).select("pid", r6(F.col("gamma_est"), "gamma_est"), r6(F.col("stat"), "stat"), r6(F.col("p"), "p"), "flag", "verdict")
+
+
+def two_sided(z: str) -> str:
+    """p of |z| by the series of positive terms of the error function; 0 to six places beyond 8."""
+    terms = f"[exp(-({z}) * ({z}) / 2 + 2 * k * ln(2) + (2 * k + 1) * ln(greatest(abs({z}), 1e-300) / sqrt(2)) + lgamma(k + 1) - lgamma(2 * k + 2)) FOR k IN range(0, 150)]"
+    return f"CASE WHEN abs({z}) > 8 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum({terms}) END"
 
 
 def flagged(stat: str, sign: str, limit: str, source: str) -> str:
     flag = f"CASE WHEN {limit} THEN CASE WHEN {sign} > 0 THEN 1 ELSE -1 END ELSE 0 END"
-    words = "CASE flag WHEN 1 THEN 'worse than expected (significantly above the null)' WHEN -1 THEN 'better than expected (significantly below the null)' ELSE 'not significantly different from the null' END"
-    return f" SELECT pid, {s6('gamma', 'gamma_est')}, {s6('stat', 'stat')}, flag, {words} AS verdict FROM (SELECT *, {flag} AS flag FROM (SELECT *, {stat} AS stat FROM {source}))"
+    words = "CASE flag WHEN 1 THEN 'above the null value' WHEN -1 THEN 'below the null value' ELSE 'no clear difference' END"
+    p = two_sided("stat") if limit == Z else f"CASE WHEN stat <= 0 THEN 1.0 ELSE {two_sided('sqrt(greatest(stat, 0))')} END"
+    return f" SELECT pid, {s6('gamma', 'gamma_est')}, {s6('stat', 'stat')}, {s6(p, 'p')}, flag, {words} AS verdict FROM (SELECT *, {flag} AS flag FROM (SELECT *, {stat} AS stat FROM {source}))"
 
 
+Z = "abs(stat) > 1.959963984540054"
+LRT = "stat > 3.841458820694124"
 MEDIAN = ", med AS MATERIALIZED (SELECT median(gamma) AS g0 FROM g)"
 PER = ", per AS MATERIALIZED (SELECT pid, any_value(gamma) AS gamma, any_value(g0) AS g0, sum(y - n * p0) AS res, sum(n * p0 * (1 - p0)) AS w0, sum(w) AS w, sum((e0 - eta) * y - n * (greatest(e0, 0) + ln(1 + exp(-abs(e0))) - (greatest(eta, 0) + ln(1 + exp(-abs(eta)))))) AS drop_, {sums} FROM (SELECT *, 1 / (1 + exp(-e0)) AS p0 FROM (SELECT r.*, g0, eta - gamma + g0 AS e0 FROM r, med)) GROUP BY pid)"
 SUMS = ", ".join(f"sum({w} * {e}) AS {n}_{w[-1] if w == 'w' else 'o'}" for w in ("w", "n * p0 * (1 - p0)") for n, e in (("a", "z1"), ("b", "z2"), ("aa", "z1 * z1"), ("ab", "z1 * z2"), ("bb", "z2 * z2")))
 TEST = FIT + MEDIAN + PER.format(sums=SUMS)
-Z = "abs(stat) > 1.959963984540054"
-LRT = "stat > 3.841458820694124"
 
 
 @query(f"{FIT}{MEDIAN}" + flagged("(gamma - g0) / sqrt(ig + i11 * j1 * j1 + 2 * i12 * j1 * j2 + i22 * j2 * j2)", "stat", Z, "(SELECT * FROM g JOIN a USING (pid), s, med)"))
@@ -310,7 +373,12 @@ def simulate_summary(spark, sf_dir):
     return data.groupBy("id").agg(F.count("*").alias("n_records"), F.sum("y").alias("events")).join(truth.withColumnRenamed("gamma", "true_gamma"), "id")
 
 
-@query()
+MAPPING = f"""WITH rec AS (SELECT l_suppkey AS provider, (l_returnflag = 'R')::INTEGER AS y, l_quantity / 50 AS quantity, l_discount * 10 AS discount FROM lineitem),
+s AS (SELECT count(*) AS n, count(DISTINCT y) = 2 AND bool_and(y IN (0, 1)) AND count(y) = count(*) AS is_binary, count(DISTINCT provider) AS ids FROM rec)
+SELECT CASE WHEN is_binary THEN 'y' END AS y, 'quantity,discount' AS z, CASE WHEN ids > 1 AND ids < n / 2 THEN 'provider' END AS id FROM s"""
+
+
+@query(MAPPING)
 def inspect_mapping(spark, sf_dir):
     found = tools.inspect_data(D.line(spark, sf_dir))
     m = found["mapping"]

@@ -2,9 +2,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from providerfx.plans import registry
 
 SF = "/root/testdata/sf0.01"
-NAMES = [n for n in entry.oracle_sql() if not n.startswith("op") and n not in ("normalise_fill", "fit_stop_rules")]
+NAMES = [n for n in entry.oracle_sql() if n in registry.ORACLE_SQL]
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +16,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in NAMES if n in ("provider_cutoff", "start_value", "info_at_zero", "hat_diag_by_provider", "newton_step_1", "fit_exact_gamma", "fit_exact_rare", "gamma_extremes", "wald_all", "score_all", "lrt_firth_all", "one_shot_gamma", "likelihoods")])
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, duck, name):
     a, b = entry.queries()[name](spark, SF).toPandas(), duck.execute(entry.oracle_sql()[name]).df()
     cols = sorted(a.columns)
