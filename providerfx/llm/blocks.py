@@ -45,10 +45,34 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: For file: paths: no side files of checksums. Hadoop starts a shell for the rights of every file and side file there.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
+def write_plain(df: DataFrame, path: str, **options: str) -> None:
+    df.write.options(**PLAIN, **{"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}, **options).parquet(path)
+
+
+#: Tables that written() made and nobody dropped.
+_MADE: list[str] = []
+
+
+def made() -> int:
+    """How many tables there are now, for drop_made()."""
+    return len(_MADE)
+
+
+def drop_made(spark: SparkSession, first: int = 0) -> None:
+    """Drop the tables that operators wrote since; for when their results are stored elsewhere."""
+    while len(_MADE) > first:
+        drop_path(spark, _MADE.pop())
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and free of its lineage."""
     path = new_path(df.sparkSession, name)
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    _MADE.append(path)
+    write_plain(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -63,10 +87,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     was = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    own = {k: hadoop.get(k) for k in PLAIN}
+    for k, v in PLAIN.items():
+        hadoop.set(k, v)
     try:
         return df.checkpoint(eager=True)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", was)
+        for k, v in own.items():
+            hadoop.unset(k) if v is None else hadoop.set(k, v)
 
 
 #: Bytes of text in a block, about, and in the smallest that are made to use all of a cluster.

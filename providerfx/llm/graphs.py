@@ -14,11 +14,10 @@ TASK_EDGES = 250_000
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) of every node with a link: root is the smallest node of its component.
 
-    edges: (a, b) of longs; rows with a null and links to itself count for nothing, repeated ones once. Each round
+    edges: a table (a, b) of longs, which is read several times; rows with a null and links to itself count for nothing, repeated ones once. Each round
     is written to the shared folder, so lineage stays short; rounds grow with the logarithm of the longest chain.
     """
-    e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = B.written(e, "edges")
+    e = edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     n, mark = e.count(), None
     for _ in range(most_rounds):
         tasks = max(1, -(-n // TASK_EDGES))

@@ -363,21 +363,26 @@ def cell_links(blocks: DataFrame, wanted: DataFrame, shingle: int, percent: int)
     return sent.repartition(*CELL_KEY).sortWithinPartitions(*CELL_KEY).mapInArrow(compared, "a long, b long")
 
 
-def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, shingle: int, percent: int) -> DataFrame:
+def few(df: DataFrame, name: str, n: int, blocks: int = 8) -> DataFrame:
+    """A table of distinct small rows, in a file for so many of the n blocks of text: tables of pairs and links are small against the texts."""
+    return B.written(df.distinct().coalesce(max(1, n // blocks)), name)
+
+
+def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, n: int, shingle: int, percent: int) -> DataFrame:
     """(node, root) of the components of links and of all further links between classes that share a region."""
-    chains = lambda roots, more: roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
-    roots = B.written(components(links), "roots")
-    members = B.written(apart(places(nodes, base_depth(percent)), roots), "members")
+    chains = lambda roots, more: few(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "chains", n)
+    roots = few(components(links), "roots", n)
+    members = few(apart(places(nodes, base_depth(percent)), roots), "members", n, 2)
     if members.isEmpty():
         return roots
-    hubs = B.written(with_hubs(members, links, percent), "hubs")
-    more = B.written(confirmed(blocks, hubs, shingle, percent), "links")
+    hubs = few(with_hubs(members, links, percent), "hubs", n)
+    more = few(confirmed(blocks, hubs, shingle, percent), "links", n)
     if not more.isEmpty():
-        roots = B.written(components(chains(roots, more)), "roots")
-    at = B.written(regions_apart(members, roots), "apart")
-    few = B.written(paired(at.filter(F.col("all") <= PAIRED_REGION), percent), "rest")
-    more = confirmed(blocks, few, shingle, percent).union(cell_links(blocks, in_cells(at.filter(F.col("all") > PAIRED_REGION)), shingle, percent))
-    more = B.written(more, "links")
+        roots = few(components(chains(roots, more)), "roots", n)
+    at = few(regions_apart(members, roots), "apart", n, 2)
+    rest = few(paired(at.filter(F.col("all") <= PAIRED_REGION), percent), "rest", n)
+    more = confirmed(blocks, rest, shingle, percent).union(cell_links(blocks, in_cells(at.filter(F.col("all") > PAIRED_REGION)), shingle, percent))
+    more = few(more, "links", n)
     return roots if more.isEmpty() else components(chains(roots, more))
 
 
@@ -488,11 +493,11 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
         return pa.table({"node": t["_id"], "home": pa.array(np.full(len(t), key[0].as_py(), np.int64)), "row": pa.array(np.arange(len(t))), "mark": cat(one), "mark2": cat(two), "size": cat(sizes), "sig": pa.array(sig, pa.binary())})
 
     sets = B.written(blocks.groupBy("part").applyInArrow(signed, "node long, home long, row long, mark long, mark2 long, size long, sig binary"), "sets")
-    kinds = B.written(sets.filter("size > 0 and node is not null").groupBy("mark", "mark2", "size").agg(F.min("node").alias("rep")), "classes")
+    kinds = B.written(sets.filter("size > 0 and node is not null").groupBy("mark", "mark2", "size").agg(F.min("node").alias("rep")).coalesce(max(1, n // 4)), "classes")
     reps = kinds.select(F.col("rep").alias("node"), "mark", "mark2", "size")
-    nodes = B.written(sets.join(reps, ["node", "mark", "mark2", "size"], "left_semi").dropDuplicates(["node", "mark", "mark2"]).select(*NODE, "sig"), "nodes")
-    pairs = B.written(candidates(nodes, n, percent), "candidates")
-    roots = rest_of_links(blocks, nodes, B.written(confirmed(blocks, pairs, shingle, percent), "links"), shingle, percent)
+    nodes = B.written(sets.join(reps, ["node", "mark", "mark2", "size"], "left_semi").dropDuplicates(["node", "mark", "mark2"]).select(*NODE, "sig").coalesce(max(1, n // 2)), "nodes")
+    pairs = few(candidates(nodes, n, percent), "candidates", n, 2)
+    roots = rest_of_links(blocks, nodes, few(confirmed(blocks, pairs, shingle, percent), "links", n), n, shingle, percent)
     settled = kinds.join(roots, F.col("rep") == F.col("node"), "left").select("mark", "mark2", "size", F.coalesce("root", "rep").alias("component"))
     rows = sets.select("node", "home", "row", "mark", "mark2", "size").join(settled, ["mark", "mark2", "size"], "left")
     verdict = rows.select(F.col("home").cast("int").alias("part"), "row", "size", F.when(F.col("node").isNotNull(), F.coalesce("component", "node")).alias("component"))

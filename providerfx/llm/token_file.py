@@ -120,8 +120,7 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, id_col: str = "do
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     raw_path = f"{path}/raw"
-    encode_blocks(docs, tokenizer, end_id, split_points(docs, "doc_id", B.parts_of(docs, "text"))).write.parquet(raw_path)
-    spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files, which nothing reads any more
+    B.write_plain(encode_blocks(docs, tokenizer, end_id, split_points(docs, "doc_id", B.parts_of(docs, "text"))), raw_path)
     raw = spark.read.schema(RAW).parquet(raw_path)
     lengths = H.code_lengths(global_counts(raw))
 
@@ -133,8 +132,8 @@ def write_token_file(df: DataFrame, path: str, tokenizer: str, id_col: str = "do
                 payload, marks = H.pack(unzipped(r["ids"], r["n_tokens"]), codes, lengths)
                 yield pa.RecordBatch.from_arrays([pa.array([r["part"]], pa.int32()), pa.array([r["seg"]], pa.int32()), pa.array([r["n_tokens"]]), *(pa.array([x], pa.binary()) for x in (r["docs"], r["lens"], marks.tobytes(), payload))], names=["part", "seg", "n_tokens", "docs", "lens", "marks", "payload"])
 
-    raw.drop("seen", "times").mapInArrow(coded, FILE).write.option("compression", "none").parquet(f"{path}/blocks")
-    spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/lengths")
+    B.write_plain(raw.drop("seen", "times").mapInArrow(coded, FILE), f"{path}/blocks", compression="none")
+    B.write_plain(spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1), f"{path}/lengths")
     B.drop_path(spark, raw_path)
 
 
