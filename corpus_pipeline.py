@@ -46,15 +46,21 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near-duplicates", drop_near_duplicates), ("substrings", cut_repeated_passages), ("decontamination", cut_benchmark_passages), ("packing", pack)]
 
-#: No SQL: a learned classifier, a tokenizer and a packing have none. tests/llm tests the operators, with other parameters
-#: in part; no test runs the stages yet.
+#: No SQL: a learned classifier, a tokenizer and a packing have none. tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; what a stage read and its own tables are dropped as soon as its documents are written."""
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
+        made = blocks.made()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = blocks.written(docs, name)
+            schema, before, path = docs.schema, path, blocks.new_path(spark, name)
+            blocks.write_plain(docs, path)
+            blocks.drop_made(spark, made)
+            if before:
+                blocks.drop_path(spark, before)
+            docs = spark.read.schema(schema).parquet(path)
     return docs
