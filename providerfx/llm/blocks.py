@@ -231,6 +231,62 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.withColumn("total", total).filter("total > 1").select("part", *keys)
 
 
+# --- counts of 48-bit keys, packed ----------------------------------------------------------------------------
+#
+# Where a pass counts nearly one key for each few bytes of text, rows would weigh more than the texts. A block sends
+# one row for each bucket of the key space in which it has keys, so never more rows than keys.
+
+KEY_BITS = 48
+
+
+def bucket_bounds(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets (equal ranges of the key space) that the sorted keys are in, and where each begins, with the end."""
+    own = ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(buckets)) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[at].astype(np.int64), np.append(at, len(keys))
+
+
+def send_keys(part: int, keys: np.ndarray, times: np.ndarray, buckets: int) -> pa.Table:
+    """INFO rows (bucket, 0, part, blob) of the sorted distinct keys and how often the block has each (65535 at most)."""
+    own, at = bucket_bounds(keys, buckets)
+    rows = []
+    for k, lo, hi in zip(own.tolist(), at.tolist(), at[1:].tolist()):
+        raw = np.ascontiguousarray(keys[lo:hi]).view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+        rows.append((k, 0, part, np.minimum(times[lo:hi], 65535).astype("<u2").tobytes() + raw))
+    return info(rows)
+
+
+def count_keys(table: pa.Table, hot: int) -> pa.Table:
+    """One bucket's rows to (part, 0, bucket, blob): which of a block's keys occur twice or more in all, and which more than `hot` times."""
+    sent = []
+    for blob in table["blob"].to_pylist():
+        n = len(blob) // (2 + KEY_BITS // 8)
+        keys = np.zeros((n, 8), np.uint8)
+        keys[:, : KEY_BITS // 8] = np.frombuffer(blob, np.uint8, n * KEY_BITS // 8, 2 * n).reshape(n, -1)
+        sent.append((keys.view(np.uint64).ravel(), np.frombuffer(blob, "<u2", n)))
+    keys, times = np.concatenate([k for k, _ in sent]), np.concatenate([t for _, t in sent]).astype(np.int64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    total = np.empty(len(keys), np.int64)
+    total[order] = np.add.reduceat(times[order], first).repeat(np.diff(np.append(first, len(keys))))
+    at, bucket = np.cumsum([0, *(len(k) for k, _ in sent)]), table["part"][0].as_py()
+    return info([(p, 0, bucket, np.packbits(total[a:z] > 1).tobytes() + np.packbits(total[a:z] > hot).tobytes()) for p, a, z in zip(table["key"].to_pylist(), at, at[1:]) if (total[a:z] > 1).any()])
+
+
+def key_answers(keys: np.ndarray, table: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that occur twice or more, and those of them that are hot, from a block's sorted keys and its answers."""
+    own, at = bucket_bounds(keys, buckets)
+    place = {k: (lo, hi) for k, lo, hi in zip(own.tolist(), at.tolist(), at[1:].tolist())}
+    many, hot = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
+    for k, blob in zip(table["key"].to_pylist(), table["blob"].to_pylist()):
+        lo, hi = place[k]
+        raw = np.frombuffer(blob, np.uint8)
+        for out, half in zip((many, hot), np.split(raw, 2)):
+            out[lo:hi] = np.unpackbits(half, count=hi - lo).astype(bool)
+    return keys[many], keys[hot]
+
+
 def sorted_unique(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values, and how often each occurs."""
     v = np.sort(values)

@@ -1,7 +1,7 @@
 """Suffix-array dedup: bytes go that a fixed-length string covers which also starts in a document of a smaller id.
 
-Only strings whose smallest inner gram hash is chosen at two places can repeat; Spark counts these grams. Runs of
-strings with a repeated gram become segments, dealt by that gram. Equal segments are one; the distinct segments
+Only strings whose smallest inner gram hash is chosen at two places can repeat, so these grams are counted first. Runs of
+strings with a repeated gram become segments, dealt by that gram to shards. Equal segments are one; the distinct ones
 are sorted, a bounded number at a time, by an induced suffix array, and its permuted common prefixes tell which strings
 are equal across segments. Strings of a gram with many occurrences are dealt by more bytes than the gram's, see hot_keys.
 """
@@ -12,7 +12,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,9 +28,8 @@ RUN = 64
 #: A gram chosen at more places is dealt by hot_keys.
 HOT = 2000
 LAST = np.iinfo(np.int64).max
-GRAMS = "part int, gram long, n long"
-SEGMENTS = "part int, gram long, bytes binary, starts binary, docs binary"
-SEGMENT_TYPE = pa.schema([("part", pa.int32()), ("gram", pa.int64()), *((c, pa.binary()) for c in ("bytes", "starts", "docs"))])
+#: Shards of segments for each block of text.
+SHARDS = 2
 FOUND = "part int, starts binary, runs binary"
 
 
@@ -54,7 +53,7 @@ class Segments:
             for k in range(0, self.gram, 8):
                 g = (g ^ eight[k : k + m]) * W.SEEDS[0]
                 g ^= g >> np.uint64(29)
-            yield base, W.mix(g), W.inside(self.offs[lo : hi + 1] - base, self.size, n)
+            yield base, W.mix(g) >> np.uint64(64 - B.KEY_BITS), W.inside(self.offs[lo : hi + 1] - base, self.size, n)
 
     def minimal(self, g: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return W.minimizers(g, self.size - self.gram + 1, valid)
@@ -76,7 +75,7 @@ class Segments:
         k = np.searchsorted(edges, place, "right") - 1
         first, end = np.array(edges[:-1])[k], np.array(edges[1:])[k] - 1
         q = base + at + place
-        return W.mix(W.span_hash(self.buf, q - first, q + self.size - end) + k.astype(np.uint64))
+        return W.mix(W.span_hash(self.buf, q - first, q + self.size - end) + k.astype(np.uint64)) >> np.uint64(64 - B.KEY_BITS)
 
     def segments(self, grams: np.ndarray, hot: np.ndarray) -> None:
         """Sets, for each occurrence of a segment: start, length, document id and group; groups are in order of (key, hashes)."""
@@ -176,34 +175,33 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
     types = [df.schema[c].dataType for c in rest]
     schema = T.StructType([*(T.StructField(f"c{i}", t) for i, t in enumerate(types)), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType() if digest else T.BinaryType())])
 
+    buckets, shards = n, SHARDS * n
+
     def grams_of(key, table):
-        grams, times = Segments(table, size).grams()
-        return pa.table({"part": pa.array(np.full(len(grams), key[0].as_py(), np.int32)), "gram": grams.view(np.int64), "n": times})
-
-    def segments_of(key, table, grams):
-        if not table.num_rows or not grams.num_rows:
-            return SEGMENT_TYPE.empty_table()
-        x, g = Segments(table, size), grams["gram"].to_numpy().view(np.uint64)
-        x.segments(np.sort(g), np.sort(g[grams["hot"].to_numpy()]))
-        s, k = x.starts[x.first], x.lens[x.first]
-        each = np.append(x.first, len(x.starts))
-        cols = [binaries(x.buf[W.gathered(s, k)], np.concatenate([[0], np.cumsum(k)])), binaries(x.starts, 8 * each), binaries(x.doc, 8 * each)]
-        return pa.table([pa.array(np.full(len(k), key[0].as_py(), np.int32)), pa.array(x.keys[x.first].view(np.int64)), *cols], schema=SEGMENT_TYPE)
-
-    def compared(batches):
-        """Runs of strings that also start in a smaller document, from segments that come in order of their keys."""
-        held, total = [], 0
-        for b in batches:
-            held, total = [*held, b], total + b.nbytes
-            if total >= ARRAY_BYTES * 4:
-                t = pa.Table.from_batches(held).combine_chunks()
-                key = t["gram"].to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-                yield from answers(t.slice(0, cut), size)
-                held = t.slice(cut).to_batches()
-                total = t.slice(cut).nbytes if cut else 0
-        yield from answers(pa.Table.from_batches(held, SEGMENT_TYPE).combine_chunks(), size)
+        return B.send_keys(key[0].as_py(), *Segments(table, size).grams(), buckets)
 
+    def segments_of(key, table, counted):
+        if not table.num_rows or not counted.num_rows:
+            return B.info([])
+        x = Segments(table, size)
+        x.segments(*B.key_answers(x.grams()[0], counted, buckets))
+        s, k, keys = x.starts[x.first], x.lens[x.first], x.keys[x.first]
+        each, rows = np.append(x.first, len(x.starts)), []
+        own, at = B.bucket_bounds(keys, shards)
+        for shard, lo, hi in zip(own.tolist(), at.tolist(), at[1:].tolist()):
+            raw = binaries(x.buf[W.gathered(s[lo:hi], k[lo:hi])], np.concatenate([[0], np.cumsum(k[lo:hi])]))
+            occ = slice(each[lo], each[hi])
+            places = [pa.ListArray.from_arrays(pa.array((each[lo : hi + 1] - each[lo]).astype(np.int32)), pa.array(v)) for v in (x.starts[occ], x.doc[occ])]
+            rows.append((shard, 0, key[0].as_py(), B.to_ipc(pa.table([pa.array(keys[lo:hi]), raw, *places], names=["gram", "bytes", "starts", "docs"]))))
+        return B.info(rows)
+
+    def compared(key, table):
+        """Runs of strings that also start in a smaller document, from the segments of one shard."""
+        got = [B.from_ipc([blob]) for blob in table["blob"].to_pylist()]
+        part = np.repeat(table["key"].to_numpy(), [len(x) for x in got])
+        t = pa.concat_tables(got).append_column("part", pa.array(part))
+        del got, table
+        return pa.Table.from_batches(list(answers(t.combine_chunks(), size)), FOUND_TYPE)
 
     def remove(key, table, found):
         x = Segments(table, size)
@@ -228,10 +226,10 @@ def dedup_bytes(df: DataFrame, size: int = 50, text: str = "text", id_col: str =
             out = out.append_column(name, col)
         return out
 
-    counted = blocks.groupBy("part").applyInArrow(grams_of, GRAMS).withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
-    grams = counted.filter("total > 1").select("part", "gram", (F.col("total") > HOT).alias("hot"))
-    segments = blocks.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(segments_of, SEGMENTS)
-    found = segments.repartition("gram").sortWithinPartitions("gram").mapInArrow(compared, FOUND)
+    hot = HOT
+    counted = blocks.groupBy("part").applyInArrow(grams_of, B.INFO).groupBy("part").applyInArrow(lambda table: B.count_keys(table, hot), B.INFO)
+    sent = blocks.groupBy("part").cogroup(B.written(counted, "grams").groupBy("part")).applyInArrow(segments_of, B.INFO)
+    found = sent.groupBy("part").applyInArrow(compared, FOUND)
     out = blocks.groupBy("part").cogroup(found.groupBy("part")).applyInArrow(remove, schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), "n_bytes", "n_removed", "n_spans", F.col("kept").alias(last))
 
@@ -241,10 +239,7 @@ def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
-def longs(col) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of all rows of a binary column, and how many each row has."""
-    buf, offs = W.flat(col)
-    return buf[: offs[-1]].view(np.int64), np.diff(offs) // 8
+FOUND_TYPE = pa.schema([("part", pa.int32()), ("starts", pa.binary()), ("runs", pa.binary())])
 
 
 def answers(t: pa.Table, size: int):
@@ -252,8 +247,9 @@ def answers(t: pa.Table, size: int):
     if not t.num_rows:
         return
     buf, offs = W.flat(t["bytes"])
-    lens, keys, part = np.diff(offs), t["gram"].to_numpy().view(np.uint64), t["part"].to_numpy()
-    (start, many), (doc, _) = longs(t["starts"]), longs(t["docs"])
+    lens, keys, part = np.diff(offs), t["gram"].to_numpy(), t["part"].to_numpy()
+    lists = t["starts"].combine_chunks()
+    start, many, doc = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy()), t["docs"].combine_chunks().flatten().to_numpy()
     low = np.minimum.reduceat(doc, np.cumsum(many) - many)
     order, group, first = grouped(buf, offs[:-1], lens, keys)
     rep = order[first]
@@ -273,4 +269,4 @@ def answers(t: pa.Table, size: int):
     i, own, p = i[by], own[by], p[by]
     cut = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
     each = 8 * np.append(cut, len(p))
-    yield from pa.table({"part": p[cut], "starts": binaries(start[own] + off[i], each), "runs": binaries(run[i], each)}).to_batches()
+    yield from pa.table({"part": p[cut], "starts": binaries(start[own] + off[i], each), "runs": binaries(run[i], each)}).cast(FOUND_TYPE).to_batches()
