@@ -131,7 +131,7 @@ def fences(sketches: DataFrame, groups: list[str]) -> DataFrame:
 
 
 def quality_rules(df: DataFrame, groups: tuple[str, str] = ("lang", "source"), text: str = "text") -> DataFrame:
-    """df without its text, with FIELDS, base_failed, the fences that held (size, *_max, *_min) and kept.
+    """df without its text, with FIELDS, base_failed, the fences that held (fence_size, fence_*_max, fence_*_min) and kept.
 
     base_failed: fewer than 20 words, or over 30 % of them in repeated 8-word windows. A document that passes is
     kept unless a metric lies beyond its group's fences: the quantile EXTREME of the documents that pass, or the
@@ -142,7 +142,8 @@ def quality_rules(df: DataFrame, groups: tuple[str, str] = ("lang", "source"), t
     """
     B.small_batches(df.sparkSession)
     outer, inner = groups
-    made = [*FIELDS, "base_failed", "kept"]
+    names = ["size", *(f"{m}_max" for m in UPPER), *(f"{m}_min" for m in LOWER)]
+    made = [*FIELDS, "base_failed", "kept", *(f"fence_{n}" for n in names)]
     f = features_udf()(F.coalesce(F.col(f"`{text}`"), F.lit("")))
     rest = [F.col(f"`{c}`") for c in df.columns if c != text and c not in made]
     base = B.written(df.select(*rest, f.alias("_f")).select(*rest, "_f.*"), "features")
@@ -150,7 +151,6 @@ def quality_rules(df: DataFrame, groups: tuple[str, str] = ("lang", "source"), t
     by_outer = merge(by_group, [outer])
     whole = fences(merge(by_outer, []), [])
     outer_f, group_f = fences(by_outer, [outer]), fences(by_group, [outer, inner])
-    names = ["size", *(f"{m}_max" for m in UPPER), *(f"{m}_min" for m in LOWER)]
     mark = lambda d, p, keys: d.select(*(F.col(k).alias(f"_{p}_{k}") for k in keys), *(F.col(n).alias(f"_{p}_{n}") for n in names))
     g, o, w = mark(group_f, "g", groups), mark(outer_f, "o", [outer]), mark(whole, "w", [])
     # the thresholds of a group are settled among sketches, before the join to the rows
@@ -158,6 +158,7 @@ def quality_rules(df: DataFrame, groups: tuple[str, str] = ("lang", "source"), t
     big = lambda p: F.col(f"_{p}_size") >= LEAST_GROUP
     held = [F.when(big("g"), F.col(f"_g_{n}")).when(big("o"), F.col(f"_o_{n}")).otherwise(F.col(f"_w_{n}")).alias(f"_t_{n}") for n in names]
     t = t.select(F.col(f"_g_{outer}").alias("_k1"), F.col(f"_g_{inner}").alias("_k2"), *held)
+    t = B.written(t, "fences")  # a table of known size: broadcast if small, else Spark can split the rows of a large group
     x = base.join(t, F.col(f"`{outer}`").eqNullSafe(F.col("_k1")) & F.col(f"`{inner}`").eqNullSafe(F.col("_k2")), "left").drop("_k1", "_k2")
     beyond = F.lit(False)
     for m, v in metrics().items():
