@@ -23,10 +23,11 @@ def exact_median(df: DataFrame, column: str) -> float | None:
         if below <= ranks[0] and ranks[1] < below + inside:
             break
         half *= 4
-    if low == high:
-        return low
-    last = inside - 1
-    found = df.filter(F.col(column).between(low, high)).agg(F.percentile(column, F.array(*(F.lit((r - below) / last) for r in ranks)))).head()[0]
+    at, found = below, []
+    # equal values are one row, so the bracket holds few
+    for r in df.filter(F.col(column).between(low, high)).groupBy(column).agg(F.count("*").alias("n")).orderBy(column).collect():
+        found += [r[0]] * sum(at <= k < at + r["n"] for k in ranks)
+        at += r["n"]
     return (found[0] + found[1]) / 2
 
 
