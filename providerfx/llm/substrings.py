@@ -63,7 +63,7 @@ class Windows:
         return B.pairs_unique(*np.concatenate(got, axis=1))
 
     def gone(self, a: np.ndarray, b: np.ndarray):
-        """For each range: its documents, word offsets, and which words the windows with one of these pairs of hashes cover."""
+        """For each range: its documents, word offsets, and which words the windows with one of these pairs of a hash and half of the other cover."""
         seen = B.sieve(a)
         for lo, hi, woffs, h, second, valid in self.parts():
             d, total = np.zeros(len(h) + self.window + 1, np.int64), len(h)
@@ -72,7 +72,7 @@ class Windows:
                 first = W.rolling(h, self.window, 0)[at]
                 some = B.sifted(first, a, seen)
                 if len(some):
-                    at = at[some][B.sifted_pairs(first[some], W.rolling(second(), self.window, 1)[at[some]], a, b, seen)]
+                    at = at[some][B.sifted_pairs(first[some], W.rolling(second(), self.window, 1)[at[some]] >> np.uint64(32), a, b, seen)]
                     np.add.at(d, at, 1)
                     np.add.at(d, at + self.window, -1)
             yield lo, hi, woffs, np.cumsum(d)[:total] > 0
@@ -80,7 +80,7 @@ class Windows:
 
 def unsigned(table: pa.Table, *names: str) -> list[np.ndarray]:
     """Columns of hashes, in the order of the first, then the second."""
-    cols = [table[c].to_numpy().view(np.uint64) for c in names]
+    cols = [x.view(np.uint32 if x.dtype == np.int32 else np.uint64).astype(np.uint64) for x in (table[c].to_numpy() for c in names)]
     order = np.lexsort(cols[::-1])
     return [c[order] for c in cols]
 
@@ -135,6 +135,7 @@ def dedup_substrings(df: DataFrame, window: int = 35, text: str = "text", id_col
 
     grams = B.repeated(blocks.groupBy("part").applyInArrow(grams_of, GRAMS), "gram")
     windows = B.repeated(blocks.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(windows_of, WINDOWS), "a", "b")
+    windows = windows.select("part", "a", F.shiftright("b", 32).cast("int").alias("b"))  # 96 of the 128 bits go back to the blocks
     out = blocks.groupBy("part").cogroup(windows.groupBy("part")).applyInArrow(remove, schema)
     cols = [F.col(f"c{i}").alias(c) for i, c in enumerate(rest)]
     return out.select(*cols, "n_words", "n_removed", F.col("kept").alias(kept_name))
