@@ -14,7 +14,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,11 +75,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df kept by the executors, for small tables of a short lineage: what a lost executor held is made again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """df from files in the shared folder, dealt as it was: a plan without adaptive steps tells its partitioning."""
     spark = df.sparkSession

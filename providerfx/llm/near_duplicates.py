@@ -220,11 +220,11 @@ def in_component(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(roots, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
 
 
-def apart(placed: DataFrame, roots: DataFrame) -> DataFrame:
+def apart(placed: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     """(region, tree, NODE, regions, component): the classes of each region that holds several components."""
     at = in_component(placed, roots)
     several = at.select(F.explode("regions").alias("region"), "component").groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("region")
-    several = B.held(several)  # on its own, so that Spark can split a large region's rows in the joins
+    several = few(several, "several", n)  # a table, so that both sides of the join are dealt and Spark can split a large region's rows
     keys = at.select("node", "mark", F.posexplode("regions").alias("tree", "region")).join(several, "region", "left_semi")
     return keys.join(at, ["node", "mark"]).select("region", "tree", *NODE, "regions", "component")
 
@@ -237,22 +237,22 @@ def linkable(percent: int):
     return (F.col("a_component") != F.col("b_component")) & (100 * F.least("a_size", "b_size") >= percent * F.greatest("a_size", "b_size"))
 
 
-def with_hubs(members: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+def with_hubs(members: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs of each region's class of the most links (a) with the classes of other components (b)."""
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     best = F.max(F.struct(F.coalesce("n_links", F.lit(0)).alias("n_links"), *NODE, "component")).alias("h")
     hubs = members.join(ends, "node", "left").groupBy("region").agg(best).select("region", "h.*").select("region", *side("a"))
-    hubs = B.held(hubs)
+    hubs = few(hubs, "hubs", n)
     pairs = members.select("region", *side("b")).join(hubs, "region").filter(linkable(percent))
     return pairs.select(*(f"{p}_{c}" for p in "ab" for c in NODE)).distinct()
 
 
-def regions_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+def regions_apart(members: DataFrame, roots: DataFrame, n: int) -> DataFrame:
     """members of regions that still hold several components, with their component now, the region's largest one (main), and rows and cols of cells."""
     at = in_component(members.drop("component"), roots)
     of = at.groupBy("region", "component").agg(F.count("*").alias("n")).groupBy("region").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("m"))
     of = of.filter("all > m.n").select("region", "all", F.col("m.component").alias("main"), F.ceil((F.col("all") - F.col("m.n")) / CELL).alias("rows"), F.ceil(F.col("all") / CELL).alias("cols"))
-    return at.join(B.held(of), "region")
+    return at.join(few(of, "regions", n), "region")
 
 
 def paired(at: DataFrame, percent: int) -> DataFrame:
@@ -372,14 +372,14 @@ def rest_of_links(blocks: DataFrame, nodes: DataFrame, links: DataFrame, n: int,
     """(node, root) of the components of links and of all further links between classes that share a region."""
     chains = lambda roots, more: few(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more), "chains", n)
     roots = few(components(links), "roots", n)
-    members = few(apart(places(nodes, base_depth(percent)), roots), "members", n, 2)
+    members = few(apart(places(nodes, base_depth(percent)), roots, n), "members", n, 2)
     if members.isEmpty():
         return roots
-    hubs = few(with_hubs(members, links, percent), "hubs", n)
+    hubs = few(with_hubs(members, links, n, percent), "hubs", n)
     more = few(confirmed(blocks, hubs, shingle, percent), "links", n)
     if not more.isEmpty():
         roots = few(components(chains(roots, more)), "roots", n)
-    at = few(regions_apart(members, roots), "apart", n, 2)
+    at = few(regions_apart(members, roots, n), "apart", n, 2)
     rest = few(paired(at.filter(F.col("all") <= PAIRED_REGION), percent), "rest", n)
     more = confirmed(blocks, rest, shingle, percent).union(cell_links(blocks, in_cells(at.filter(F.col("all") > PAIRED_REGION)), shingle, percent))
     more = few(more, "links", n)
