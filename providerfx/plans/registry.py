@@ -154,10 +154,12 @@ def closed_form_p0(spark, sf_dir):
 
 
 def gammas(fit):
+    fit.close()  # neither the gammas nor the slopes need the records
     return fit.gamma.select("pid", r6(F.col("gamma"), "gamma"))
 
 
 def betas(fit):
+    fit.close()
     return fit.beta_table().select("feature", r6(F.col("beta"), "beta"))
 
 
