@@ -40,7 +40,8 @@ def test_counts_and_file(spark, docs):
     got = token_counts.token_counts(docs, BYTES, limit=100)
     assert got.count() == len(ROWS) + 1 and "n_words" in got.columns
     for r in got.collect():
-        assert (r["n_bytes"], r["n_tokens"]) == (len((r["text"] or "").encode()), len(lib.encode(r["text"] or "", add_special_tokens=False).ids))
+        n = len(lib.encode(r["text"] or "", add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((r["text"] or "").encode()), n, n > 100)
     assert token_counts.token_counts(empty(docs), BYTES).count() == 0
     lib, path = Tokenizer.from_file(WORDS), new_path(spark, "t")
     token_file.write_token_file(docs, path, WORDS, end_id=2)
