@@ -477,7 +477,8 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
     n = B.parts_of(df, text)
     made = ["n_shingles", "component_id", "kept"]
     rest = [c for c in (df.columns if columns is None else columns) if c not in made]
-    named = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
+    name = {c: "text" if c == text else f"c{i}" for i, c in enumerate(rest)}  # texts are in the blocks once
+    named = df.select(*(F.col(f"`{c}`").alias(a) for c, a in name.items() if c != text), F.col(f"`{id_col}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text"))
     blocks = B.to_blocks(B.dealt(named, n, "_id", "text"), n)
 
     def signed(key, table):
@@ -507,7 +508,7 @@ def near_duplicates(df: DataFrame, shingle: int = 5, percent: int = 80, text: st
         t, found = B.from_ipc(table["blob"].to_pylist()), found.sort_by("row")
         node, component = t["_id"].combine_chunks(), found["component"].combine_chunks()
         kept = pc.fill_null(pc.equal(node, component), True)
-        return pa.Table.from_arrays([*(t[f"c{i}"] for i in range(len(rest))), found["size"], component, kept], names=[*(f"c{i}" for i in range(len(rest))), *made])
+        return pa.Table.from_arrays([*(t[a] for a in name.values()), found["size"], component, kept], names=[*(f"c{i}" for i in range(len(rest))), *made])
 
     out = blocks.groupBy("part").cogroup(verdict.groupBy("part")).applyInArrow(attach, schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(rest)), *made)
