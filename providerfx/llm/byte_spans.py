@@ -22,14 +22,14 @@ from providerfx.llm.suffix_array import permuted_prefixes, suffix_array
 
 RANGE_BYTES = 1 << 18
 #: Bytes of distinct segments in one suffix array; segments of one key stay together.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 1 << 19
 #: Most strings of a segment: longer runs (of one character, say) become several, mostly equal ones.
 RUN = 64
 #: A gram chosen at more places is dealt by hot_keys.
 HOT = 2000
 LAST = np.iinfo(np.int64).max
 #: Shards of segments for each block of text.
-SHARDS = 2
+SHARDS = 4
 FOUND = "part int, starts binary, runs binary"
 
 
