@@ -24,12 +24,15 @@ RAW = "part int, seg int, n_tokens long, docs binary, lens binary, seen binary,
 FILE = "part int, seg int, n_tokens long, docs binary, lens binary, marks binary, payload binary"
 
 
+#: Stands for a null id, which comes before all others.
+LOWEST = np.iinfo(np.int64).min
+
+
 def split_points(df: DataFrame, key: str, n: int) -> list[int]:
-    """At most n-1 ascending split points of a long column, from quantiles (a sketch, mergeable)."""
+    """n-1 ascending split points of a long column, from quantiles (a sketch, mergeable); a value of many rows is several of them."""
     if n < 2:
         return []
-    found = df.agg(F.percentile_approx(F.col(key), [k / n for k in range(1, n)], 20 * n)).head()[0]
-    return sorted(set(found or []))
+    return sorted(df.agg(F.percentile_approx(F.coalesce(key, F.lit(int(LOWEST))), [k / n for k in range(1, n)], 20 * n)).head()[0] or [])
 
 
 def encode_blocks(df: DataFrame, tokenizer: str, end_id: int | None, points: list[int]) -> DataFrame:
@@ -49,9 +52,10 @@ def encode_blocks(df: DataFrame, tokenizer: str, end_id: int | None, points: lis
                         out[np.arange(len(ids)) + np.repeat(np.arange(len(n)), n)] = ids
                         ids, n = out, n + 1
                     doc = s.column("doc_id")
-                    known = doc.is_valid().to_numpy(zero_copy_only=False)
-                    d = doc.fill_null(0).to_numpy()
-                    part = np.where(known, np.searchsorted(edges, d, "right"), 0).astype(np.int32)
+                    d = doc.fill_null(LOWEST).to_numpy()
+                    first, last = (np.searchsorted(edges, d, side) for side in ("left", "right"))
+                    # an id that is several split points has the parts between them to itself, and the last
+                    part = (last - np.arange(len(d)) % np.maximum(last - first, 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(part), doc, pa.array([x.view(np.uint8).tobytes() for x in np.split(narrow(ids), np.cumsum(n)[:-1])], pa.large_binary())], names=["part", "doc_id", "ids"])
 
         yield from B.packer(tables())
@@ -114,8 +118,8 @@ def global_counts(raw: DataFrame) -> np.ndarray:
 def write_token_file(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int | None = None) -> None:
     """Write `path`/blocks and `path`/lengths (the code length of each id, which fixes the canonical codes).
 
-    A null text is encoded as an empty one. Rows with a null id come first; rows that share an id stand in any
-    order, each with its own ids. Other columns are not written. An empty df gives files without blocks.
+    A null text is encoded as an empty one. Rows with a null id come first; rows that share an id, or have none, stand in
+    any order, each with its own ids, and very many of them are spread over several parts. Other columns are not written. An empty df gives files without blocks.
     """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
