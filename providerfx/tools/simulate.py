@@ -34,6 +34,7 @@ def simulate_providers(spark: SparkSession, n_providers: int = 50, n_per_provide
         low, high = (mid, high) if x.agg(F.avg(sigmoid(F.col("lin") + mid))).head()[0] < event_rate else (low, mid)
         if high - low < 1e-4:
             break
+    x.unpersist()  # the numbers come from hashes, so they are the same when made again
     shift = (low + high) / 2
     y = (u(1_000_003) < sigmoid(F.col("lin") + shift)).cast("int").alias("y")
     return x.select(y, *(f"x{c + 1}" for c in range(n_covariates)), "id"), p.select("id", (F.col("g") + shift).alias("gamma"))
