@@ -1,4 +1,4 @@
-"""Exact fit: Newton iterations on the Firth-penalised likelihood, one aggregation each.
+"""Exact fit: Newton iterations on the Firth-penalised likelihood, one aggregation each, or two with many covariates.
 
 Up to MAX_LOCAL providers the state (one gamma per provider) is held on the driver and broadcast, since its size is then
 proven small; records stay where they are read, and only sums of each provider move, combined before they do. Beyond,
@@ -24,6 +24,8 @@ from providerfx.operators.ranks import exact_median
 MAX_LOCAL = 200_000
 #: Parts of a provider's records where the state is a table.
 SALTS = 8
+#: Most covariates whose third moments are taken in the same pass.
+MOST_FUSED = 8
 STOPS = ("beta", "relch", "ratch", "all", "or")
 
 
@@ -67,21 +69,31 @@ class Fit:
 class State:
     """gamma by provider, on the driver or as a table."""
 
-    def __init__(self, rows: DataFrame, p: int, names: list[str], start: float, local: bool, parts: int):
-        self.rows, self.p, self.names, self.local, self.parts = rows, p, names, local, parts
-        self.start, self.table, self.kept = start, None, []
+    def __init__(self, rows: DataFrame, p: int, names: list[str], start: float, local: bool, parts: int, fused: bool):
+        self.rows, self.p, self.names, self.local, self.parts, self.fused = rows, p, names, local, parts, fused
+        self.start, self.table = start, None
+
+    def joined(self, table: DataFrame) -> DataFrame:
+        """The records with a table of providers, without moving them."""
+        if self.local:
+            return self.rows.join(F.broadcast(table), "pid")
+        return self.rows.join(table.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS))))), ["pid", "_salt"])
 
     def moments(self, beta: np.ndarray, means: np.ndarray) -> DataFrame:
         if self.table is None:
-            return M.moments(self.rows, F.lit(self.start), beta, means)
-        if self.local:
-            rows = self.rows.join(F.broadcast(self.table), "pid")
-        else:
-            rows = self.rows.join(self.table.withColumn("_salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS))))), ["pid", "_salt"])
-        return M.moments(rows, F.col("gamma"), beta, means)
+            return M.moments(self.rows, F.lit(self.start), beta, means, self.fused)
+        return M.moments(self.joined(self.table), F.col("gamma"), beta, means, self.fused)
+
+    def second_pass(self, inverse: np.ndarray) -> DataFrame:
+        """(pid, u, u_0...) at the state of the last take()."""
+        cols = ["gamma", "w", *(f"w_{k}" for k in range(self.p))]
+        kind = self.rows.schema["pid"].dataType.simpleString()
+        table = self.rows.sparkSession.createDataFrame(self.pdf[["pid", *cols]], f"pid {kind}, " + ", ".join(f"{c} double" for c in cols)) if self.local else self.found.select("pid", *cols)
+        return M.scores(self.joined(table), self.beta, self.means, inverse)
 
     def take(self, beta: np.ndarray, means: np.ndarray) -> None:
         """One pass over the records; sets what the step needs."""
+        self.beta, self.means = beta, means
         found = self.moments(beta, means)
         if self.table is not None:
             found = found.join(F.broadcast(self.table) if self.local else self.table, "pid")
@@ -111,7 +123,11 @@ class State:
     def step(self, inverse: np.ndarray, means: np.ndarray, size: float, clamp: str, bound: float) -> tuple[np.ndarray, float, int]:
         """The scaled step of beta, the largest move of a gamma, and how many gammas the clamp holds."""
         if self.local:
-            sg, down = self.tables.scores(inverse)
+            if self.fused:
+                sg, down = self.tables.scores(inverse)
+            else:
+                got = self.pdf[["pid"]].merge(self.second_pass(inverse).toPandas(), on="pid", how="left")
+                sg, down = got["u"].to_numpy(), np.array([got[f"u_{k}"].sum() for k in range(self.p)])
             db = size * (inverse @ down if self.p else down)
             dg = size * self.tables.ig * sg - (self.tables.j + means) @ db
             old = self.pdf["gamma"].to_numpy()
@@ -123,11 +139,16 @@ class State:
             kind = self.rows.schema["pid"].dataType.simpleString()
             self.table = spark.createDataFrame(pd.DataFrame({"pid": self.pdf["pid"], "gamma": new}), f"pid {kind}, gamma double")
             return db, float(np.abs(new - old).max(initial=0.0)), int((new != free).sum())
-        p, found = self.p, self.found
+        p, found, fused = self.p, self.found, self.fused
+        if not fused:
+            found = found.join(self.second_pass(inverse), "pid").checkpoint()
+
+        def scored(t, b):
+            return t.scores(inverse) if fused else (b["u"].to_numpy(), np.array([b[f"u_{k}"].sum() for k in range(p)]))
 
         def share(batches):
             for b in batches:
-                yield pd.DataFrame({"d": [M.Tables(b, p).scores(inverse)[1].tolist()]})
+                yield pd.DataFrame({"d": [scored(M.Tables(b, p), b)[1].tolist()]})
 
         got = found.mapInPandas(share, "d array<double>").agg(*[F.sum(F.col("d")[k]) for k in range(p)]).head() if p else ()
         db = size * (inverse @ np.array(got, float)) if p else np.zeros(0)
@@ -135,7 +156,7 @@ class State:
         def moved(batches):
             for b in batches:
                 t = M.Tables(b, p)
-                yield pd.DataFrame({"pid": b["pid"], "old": b["gamma"], "free": b["gamma"].to_numpy() + size * t.ig * t.scores(inverse)[0] - (t.j + means) @ db})
+                yield pd.DataFrame({"pid": b["pid"], "old": b["gamma"], "free": b["gamma"].to_numpy() + size * t.ig * scored(t, b)[0] - (t.j + means) @ db})
 
         kind = self.rows.schema["pid"].dataType.simpleString()
         free = found.mapInPandas(moved, f"pid {kind}, old double, free double").repartition(self.parts, "pid").checkpoint()
@@ -146,15 +167,17 @@ class State:
         return db, float(move or 0.0), int(held or 0)
 
 
-def fit_exact(df: DataFrame, success: str, provider: str, trials: str | None = None, features=None, exclude=(), cutoff: int = 0, tol: float = 1e-5, max_iter: int = 100, bound: float = 10.0, clamp: str = "median", stop: str = "beta", damping: bool = False, trace: bool = False, num_partitions: int | None = None, max_local: int = MAX_LOCAL) -> Fit:
+def fit_exact(df: DataFrame, success: str, provider: str, trials: str | None = None, features=None, exclude=(), cutoff: int = 0, tol: float = 1e-5, max_iter: int = 100, bound: float = 10.0, clamp: str = "median", stop: str = "beta", damping: bool = False, trace: bool = False, num_partitions: int | None = None, max_local: int = MAX_LOCAL, passes: int | None = None) -> Fit:
     """Fit slopes and one intercept per provider.
 
     clamp: gammas stay within `bound` of their median, or of 0 ("absolute"). stop: "beta" (largest scaled slope step;
     without covariates the largest gamma step), "relch" or "ratch" (relative change of the penalised likelihood, to
     itself or to its rise since the start), "all" (their maximum) or "or" (their minimum). damping adapts the step size
-    to the criterion. Providers without events get finite estimates; collinear covariates raise an error. The records
-    stay cached until close().
+    to the criterion. Providers without events get finite estimates; collinear covariates raise an error. passes: 1 or 2 over
+    the records in an iteration, by default 2 beyond MOST_FUSED covariates. The records stay cached until close().
     """
+    if passes not in (None, 1, 2):
+        raise ValueError("passes must be 1 or 2")
     if stop not in STOPS:
         raise ValueError(f"stop must be one of {', '.join(STOPS)}")
     if clamp not in ("median", "absolute"):
@@ -169,17 +192,18 @@ def fit_exact(df: DataFrame, success: str, provider: str, trials: str | None = N
             first, kept = kept, salted.repartition(parts, "pid", "_salt").persist(StorageLevel.MEMORY_AND_DISK)
             kept.count()
             first.unpersist()
-        return _newton(kept, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, "_salt" not in kept.columns)
+        fused = passes == 1 or passes is None and len(names) <= MOST_FUSED
+        return _newton(kept, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, "_salt" not in kept.columns, fused)
     except BaseException:
         kept.unpersist()
         raise
 
 
-def _newton(rows, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, local) -> Fit:
+def _newton(rows, names, tol, max_iter, bound, clamp, stop, damping, trace, parts, local, fused) -> Fit:
     p = len(names)
     got = rows.agg(F.count("*"), F.sum("y"), F.sum("n"), F.count_distinct("pid"), *[F.avg(f"z{k + 1}") for k in range(p)]).head()
     count, y, n, providers, means = got[0], got[1], got[2], got[3], np.array(got[4:], float)
-    state, beta = State(rows, p, names, start_value(rows), local, parts), np.zeros(p)
+    state, beta = State(rows, p, names, start_value(rows), local, parts, fused), np.zeros(p)
     size, before, crit, change, converged, held, history, done = 1.0, None, float("inf"), float("inf"), False, 0, [], 0
     for k in range(max_iter + 1):
         state.take(beta, means)
@@ -219,7 +243,7 @@ def likelihood_at(df: DataFrame, success: str, provider: str, gamma: DataFrame,
     rows, p = rows.join(gamma, "pid").persist(StorageLevel.MEMORY_AND_DISK), len(names)
     try:
         means = np.array(rows.agg(F.count("*"), *[F.avg(f"z{k + 1}") for k in range(p)]).head()[1:], float)
-        found = M.moments(rows, F.col("gamma"), np.asarray(beta, float), means)
+        found = M.moments(rows, F.col("gamma"), np.asarray(beta, float), means, fused=False)
 
         def share(batches):
             for b in batches:

@@ -49,3 +49,17 @@ def test_one_shot_reports(spark):
     assert not one_shot.fit_one_shot(df, "y", "id", block="block", max_iter=1).converged
     assert one_shot.fit_one_shot(df.drop("block"), "y", "id").blocks == 1
     f.close()
+
+
+def test_two_passes_and_many_covariates(spark):
+    pdf = records(m=6, p=2, seed=6)
+    g, b = dense(pdf, 2)
+    for options in ({}, {"max_local": 0}):
+        f = exact.fit_exact(spark.createDataFrame(pdf).drop("n"), "y", "id", tol=1e-9, passes=2, **options)
+        assert np.allclose(f.slopes, b, atol=1e-6) and np.allclose(values(f), g, atol=1e-6)
+        f.close()
+    wide = pd.concat([records(m=6, p=10, seed=s) for s in range(4)])
+    g, b = dense(wide, 10)
+    f = exact.fit_exact(spark.createDataFrame(wide).drop("n"), "y", "id", tol=1e-9)
+    assert np.allclose(f.slopes, b, atol=1e-6) and np.allclose(values(f), g, atol=1e-6)
+    f.close()
