@@ -28,6 +28,9 @@ RUN = 64
 #: A gram chosen at more places is dealt by hot_keys.
 HOT = 2000
 LAST = np.iinfo(np.int64).max
+#: Chosen grams are small numbers, being the smallest ones; times an odd number modulo the range of keys they fill it evenly.
+ODD = 0x9E3779B97F4B
+SPREAD, GATHER, KEYS = np.uint64(ODD), np.uint64(pow(ODD, -1, 1 << B.KEY_BITS)), np.uint64((1 << B.KEY_BITS) - 1)
 #: Shards of segments for each block of text.
 SHARDS = 4
 FOUND = "part int, starts binary, runs binary"
@@ -59,7 +62,8 @@ class Segments:
         return W.minimizers(g, self.size - self.gram + 1, valid)
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        return B.sorted_unique(np.concatenate([np.zeros(0, np.uint64), *(g[self.minimal(g, valid)[1]] for _, g, valid in self.parts())]))
+        """Keys of the chosen grams in order, and how often the block has each."""
+        return B.sorted_unique(np.concatenate([np.zeros(0, np.uint64), *(g[self.minimal(g, valid)[1]] for _, g, valid in self.parts())]) * SPREAD & KEYS)
 
     def hot_keys(self, base: int, at: np.ndarray, g: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Keys of strings by the bytes that all strings share whose gram stands at about the same place.
@@ -78,7 +82,8 @@ class Segments:
         return W.mix(W.span_hash(self.buf, q - first, q + self.size - end) + k.astype(np.uint64)) >> np.uint64(64 - B.KEY_BITS)
 
     def segments(self, grams: np.ndarray, hot: np.ndarray) -> None:
-        """Sets, for each occurrence of a segment: start, length, document id and group; groups are in order of (key, hashes)."""
+        """Sets, from the keys of repeated and of hot grams, for each occurrence of a segment: start, length, document id and group; groups are in order of (key, hashes)."""
+        grams, hot = (np.sort(x * GATHER & KEYS) for x in (grams, hot))
         starts, lens, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         seen = B.sieve(grams)
         for base, g, valid in self.parts() if len(grams) else ():
@@ -86,9 +91,9 @@ class Segments:
             at = np.flatnonzero(valid)
             at = at[B.sifted(low[at], grams, seen)] if len(at) else at
             if len(at):
-                key = low[at].copy()
-                if len(some := np.flatnonzero(B.member(key, hot))):
-                    key[some] = self.hot_keys(base, at[some], g, key[some])
+                key = low[at] * SPREAD & KEYS
+                if len(some := np.flatnonzero(B.member(low[at], hot))):
+                    key[some] = self.hot_keys(base, at[some], g, low[at[some]])
                 new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (key[1:] != key[:-1])])
                 first = np.flatnonzero(new)
                 new |= (np.arange(len(at)) - first[np.cumsum(new) - 1]) % RUN == 0
